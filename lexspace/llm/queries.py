@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
 from lexspace.storage import table
 
@@ -33,3 +34,24 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
         F.max("longest_run").alias("longest_run"),
         F.sum((F.col("words_covered") == F.col("passage_words")).cast("long")).alias("in_full"),
     )
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the documents whose label is wrong or missing or which mix languages."""
+    wrong = language_lines(table(spark, sf, "documents"), only_wrong=True)
+    return wrong.select("doc_id", "line_no", "lang").distinct()
+
+
+@query
+def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's language (that of most of its countable lines), its share of them, and the mean confidence."""
+    lines = language_lines(table(spark, sf, "documents"))
+    by = lines.groupBy("doc_id", "lang", "named").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    return by.groupBy("doc_id", "named").agg(
+        F.max_by("lang", F.struct("n", "lang")).alias("lang"),
+        F.max("n").alias("lines_in_it"),
+        F.sum("n").alias("lines"),
+        (F.sum("c") / F.sum("n")).alias("confidence"),
+        (F.count("*") > 1).alias("mixed"),
+    )
