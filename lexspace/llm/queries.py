@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspace.llm.collision import nearest
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
 from lexspace.storage import table
@@ -55,3 +56,19 @@ def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
         (F.sum("c") / F.sum("n")).alias("confidence"),
         (F.count("*") > 1).alias("mixed"),
     )
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each probe node with each of its five most similar nodes."""
+    probes = table(spark, sf, "probe_node").where("task = 'neighbours'").select("node_id")
+    found = nearest(table(spark, sf, "part_0"), probes, k=5)
+    return found.select(F.least("query", "neighbour").cast("int").alias("node_a"), F.greatest("query", "neighbour").cast("int").alias("node_b")).distinct()
+
+
+@query
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar nodes of every node whose id is divisible by 20, against all nodes."""
+    vectors = table(spark, sf, "part_0")
+    found = nearest(vectors, vectors.where("node_id % 20 = 0").select("node_id"), k=5)
+    return found.select(F.col("query").cast("int").alias("node_id"), F.col("neighbour").cast("int").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 4).alias("cosine"))
