@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspace.llm.clusters import clusters
 from lexspace.llm.collision import nearest
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
@@ -72,3 +73,19 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "part_0")
     found = nearest(vectors, vectors.where("node_id % 20 = 0").select("node_id"), k=5)
     return found.select(F.col("query").cast("int").alias("node_id"), F.col("neighbour").cast("int").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 4).alias("cosine"))
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of probe nodes in one cluster."""
+    probes = table(spark, sf, "probe_node").where("task = 'clusters'").select(F.col("node_id").cast("long").alias("key")).distinct()
+    own = clusters(table(spark, sf, "part_0"), typical=0).where("cluster is not null").join(probes, "key").select("cluster", F.col("key").cast("int").alias("node"))
+    pairs = own.withColumnRenamed("node", "node_a").join(own.withColumnRenamed("node", "node_b"), "cluster").where("node_a < node_b")
+    return pairs.select("node_a", "node_b")
+
+
+@query
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each node's cluster, the cluster's size and the most typical nodes' ranks."""
+    found = clusters(table(spark, sf, "part_0"))
+    return found.select(F.col("key").cast("int").alias("node_id"), "cluster", "size", "medoid_rank")
