@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspace.llm.clusters import clusters
 from lexspace.llm.collision import nearest
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
+from lexspace.llm.spans import char_body, shared_spans, token_body
 from lexspace.storage import table
 
 QUERIES: dict = {}
@@ -89,3 +90,34 @@ def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Each node's cluster, the cluster's size and the most typical nodes' ranks."""
     found = clusters(table(spark, sf, "part_0"))
     return found.select(F.col("key").cast("int").alias("node_id"), "cluster", "size", "medoid_rank")
+
+
+SPAN_RUNS = {"unvocalized": ("char", 60), "lexemes": ("token", 12)}
+
+
+def _flat(nested: Column) -> Column:
+    """The words of all half-verses; null half-verses and words are left out."""
+    return F.filter(F.flatten(F.filter(nested, lambda x: x.isNotNull())), lambda x: x.isNotNull())
+
+
+def _span_records(spark: SparkSession, sf: str) -> DataFrame:
+    text = table(spark, sf, "psalm").select(F.lit("unvocalized").alias("field"), "number", char_body(F.array_join("half_verses_unvocalized", " ")).alias("body"))
+    lexemes = table(spark, sf, "lexical_psalm").select(F.lit("lexemes").alias("field"), "number", token_body(_flat(F.col("half_verse_lexemes"))).alias("body"))
+    return text.unionByName(lexemes)
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of psalms with a long common passage."""
+    found = shared_spans(_span_records(spark, sf), SPAN_RUNS)
+    return found.select("field", F.col("number_a").cast("int").alias("number_a"), F.col("number_b").cast("int").alias("number_b")).withColumnRenamed("field", "field_name")
+
+
+@query
+def p1_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each psalm with a shared passage: the symbols that stand elsewhere too."""
+    pieces = shared_spans(_span_records(spark, sf), SPAN_RUNS, pairs=False)
+    before = Window.partitionBy("field", "number").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("reached", "start")))
+    by = pieces.withColumn("reached", F.max("stop").over(before)).groupBy("field", F.col("number").cast("int").alias("number"))
+    return by.agg(F.sum(fresh).alias("shared")).withColumnRenamed("field", "field_name")
