@@ -9,6 +9,7 @@ from lexspace.llm.clusters import clusters
 from lexspace.llm.collision import nearest
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
+from lexspace.llm.neardup import expanded, groups, similar_pairs
 from lexspace.llm.spans import char_body, shared_spans, token_body
 from lexspace.storage import table
 
@@ -121,3 +122,26 @@ def p1_shared(spark: SparkSession, sf: str) -> DataFrame:
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("reached", "start")))
     by = pieces.withColumn("reached", F.max("stop").over(before)).groupBy("field", F.col("number").cast("int").alias("number"))
     return by.agg(F.sum(fresh).alias("shared")).withColumnRenamed("field", "field_name")
+
+
+BAG_UNITS = {"unvocalized": "space", "forms": "token"}
+
+
+def _bag_records(spark: SparkSession, sf: str) -> DataFrame:
+    text = table(spark, sf, "psalm").select(F.lit("unvocalized").alias("field"), "number", F.array_join("half_verses_unvocalized", " ").alias("body"))
+    forms = table(spark, sf, "lexical_psalm").select(F.lit("forms").alias("field"), "number", token_body(_flat(F.col("half_verse_forms"))).alias("body"))
+    return text.unionByName(forms)
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of psalms that share most of their words."""
+    found = expanded(*similar_pairs(_bag_records(spark, sf), BAG_UNITS))
+    return found.select(F.col("field").alias("field_name"), F.col("number_a").cast("int").alias("number_a"), F.col("number_b").cast("int").alias("number_b"))
+
+
+@query
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each psalm's class of equal bags, its number of links and its group."""
+    found = groups(*similar_pairs(_bag_records(spark, sf), BAG_UNITS))
+    return found.select(F.col("field").alias("field_name"), F.col("number").cast("int").alias("number"), F.col("class_id").cast("int").alias("class_id"), "links", F.col("group_id").cast("int").alias("group_id"))
