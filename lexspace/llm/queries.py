@@ -9,6 +9,7 @@ from lexspace.llm.clusters import clusters
 from lexspace.llm.collision import nearest
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
+from lexspace.llm.mixing import mixture, reached_shares
 from lexspace.llm.neardup import expanded, groups, similar_pairs
 from lexspace.llm.spans import char_body, shared_spans, token_body
 from lexspace.storage import table
@@ -145,3 +146,16 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Each psalm's class of equal bags, its number of links and its group."""
     found = groups(*similar_pairs(_bag_records(spark, sf), BAG_UNITS))
     return found.select(F.col("field").alias("field_name"), F.col("number").cast("int").alias("number"), F.col("class_id").cast("int").alias("class_id"), "links", F.col("group_id").cast("int").alias("group_id"))
+
+
+@query
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixed collection: every drawn block with its shard, its tokens and the documents they are of."""
+    return mixture(table(spark, sf, "documents"), table(spark, sf, "source_weight"))
+
+
+@query
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of the tokens that each source has reached."""
+    weights = table(spark, sf, "source_weight")
+    return reached_shares(mixture(table(spark, sf, "documents"), weights), weights)
