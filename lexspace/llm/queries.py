@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from lexspace.llm.clusters import clusters
 from lexspace.llm.collision import nearest
+from lexspace.llm.cooccurrence import together
+from lexspace.llm.distinctive import association, most_distinctive
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
 from lexspace.llm.mixing import mixture, reached_shares
 from lexspace.llm.neardup import expanded, groups, similar_pairs
 from lexspace.llm.spans import char_body, shared_spans, token_body
+from lexspace.llm.termfreq import marked_terms
 from lexspace.storage import table
 
 QUERIES: dict = {}
@@ -159,3 +162,125 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share of the tokens that each source has reached."""
     weights = table(spark, sf, "source_weight")
     return reached_shares(mixture(table(spark, sf, "documents"), weights), weights)
+
+
+def _word_records(spark: SparkSession, sf: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(field, number, words) of the nested columns: field -> (table, column)."""
+    out = None
+    for field, (name, column) in fields.items():
+        own = table(spark, sf, name).select(F.lit(field).alias("field"), "number", _flat(F.col(column)).alias("words"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+FREQUENCY_FIELDS = {"lexemes": ("lexical_psalm", "half_verse_lexemes"), "vocalized": ("surface_psalm", "half_verse_vocalized"), "cantillation": ("surface_psalm", "half_verse_cantillation")}
+DISTINCTIVE_FIELDS = {"lexemes": ("lexical_psalm", "half_verse_lexemes"), "forms": ("lexical_psalm", "half_verse_forms"), "consonantal": ("surface_psalm", "half_verse_consonantal")}
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that are too rare or too common."""
+    found = marked_terms(_word_records(spark, sf, FREQUENCY_FIELDS)).where("mark is not null")
+    return found.select(F.col("field").alias("field_name"), "term", "mark")
+
+
+@query
+def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Each term's occurrences, psalms and mark."""
+    return marked_terms(_word_records(spark, sf, FREQUENCY_FIELDS)).withColumnRenamed("field", "field_name")
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each psalm's most characteristic terms."""
+    found = most_distinctive(_word_records(spark, sf, DISTINCTIVE_FIELDS))
+    return found.select(F.col("field").alias("field_name"), F.col("number").cast("int").alias("number"), "term")
+
+
+@query
+def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """How characteristic every term of every psalm is."""
+    found = association(_word_records(spark, sf, DISTINCTIVE_FIELDS))
+    return found.select(F.col("field").alias("field_name"), F.col("number").cast("int").alias("number"), "term", "tf", "df", F.round("ppmi", 6).alias("ppmi"), F.round("tf_icf", 6).alias("tf_icf"))
+
+
+def _half_verses(spark: SparkSession, sf: str) -> DataFrame:
+    """(items): the lexemes of each half-verse, deliveries of a psalm counted once."""
+    one = table(spark, sf, "lexical_psalm").where("number is not null").groupBy("number").agg(F.min("half_verse_lexemes").alias("h"))
+    return one.select(F.explode("h").alias("items")).where("items is not null")
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexemes that stand together far more often than chance would have it."""
+    found = together(_half_verses(spark, sf), least=5).where("lift >= 6")
+    return found.select(F.col("item_a").alias("lexeme_a"), F.col("item_b").alias("lexeme_b"))
+
+
+@query
+def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of lexemes that stand together, with their counts and lift."""
+    found = together(_half_verses(spark, sf))
+    return found.select(F.col("item_a").alias("lexeme_a"), F.col("item_b").alias("lexeme_b"), "n", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
+def _flat_sql(column: str, name: str) -> str:
+    return f"select number, list_filter(flatten(list_filter({column}, lambda x: x is not null)), lambda x: x is not null) as words from (select number, min({column}) as {column} from {name} where number is not null group by number)"
+
+
+def _word_sql(fields: dict[str, tuple[str, str]]) -> str:
+    return " union all ".join(f"select '{f}' as field, number, words from ({_flat_sql(c, t)})" for f, (t, c) in fields.items())
+
+
+_TERMS_SQL = f"""
+with r as ({_word_sql(FREQUENCY_FIELDS)}), s as (select field, count(*) as n from r group by field),
+t as (select field, number, unnest(words) as term from r),
+c as (select field, term, count(*) as occurrences, count(distinct number) as records from t where term <> '' group by field, term)
+select c.field as field_name, term, occurrences, records, case when records <= 2 then 'rare' when records > n * 0.4 then 'common' end as mark from c join s using (field)
+"""
+ORACLE_SQL["p2_terms"] = _TERMS_SQL
+ORACLE_SQL["p2_found"] = f"select field_name, term, mark from ({_TERMS_SQL}) where mark is not null"
+_SCORES_SQL = f"""
+with r as ({_word_sql(DISTINCTIVE_FIELDS)}), s as (select field, count(*) as n from r group by field),
+j as (select field, number, term, count(*) as tf from (select field, number, unnest(words) as term from r) group by all),
+t as (select field, term, sum(tf) as occurrences, count(*) as df from j group by all),
+z as (select field, number, sum(tf) as size from j group by all),
+c as (select field, sum(pow(size, CAST(0.75 AS DOUBLE))) as context from z group by field)
+select j.field as field_name, number, term, tf, df, greatest(CAST(0 AS DOUBLE), ln(tf * context / (occurrences * pow(size, CAST(0.75 AS DOUBLE))))) as ppmi, ln(1 + tf) * (ln((n + 1) / (df + 1)) + 1) as tf_icf
+from j join t using (field, term) join z using (field, number) join c using (field) join s using (field)
+"""
+ORACLE_SQL["p3_scores"] = f"select field_name, number, term, tf, df, round(ppmi, 6) as ppmi, round(tf_icf, 6) as tf_icf from ({_SCORES_SQL})"
+ORACLE_SQL["p3_found"] = f"with x as (select * from ({_SCORES_SQL}) where df >= 2) select field_name, number, term from x join (select field_name, number, max(tf_icf) as top from x group by all) using (field_name, number) where tf_icf >= top - 1e-9"
+_PAIRS_SQL = """
+with p as (select number, min(half_verse_lexemes) as h from lexical_psalm where number is not null group by number),
+b as (select row_number() over () as id, items from (select unnest(h) as items from p)),
+i as (select distinct id, item from (select id, unnest(items) as item from b) where item is not null),
+c as (select item, count(*) as c from i group by item), t as (select count(distinct id) as h from i),
+n as (select x.item as a, y.item as b, count(*) as n from i x join i y on x.id = y.id and x.item < y.item group by all)
+select a as lexeme_a, b as lexeme_b, n, ca.c as n_a, cb.c as n_b, n * h / (ca.c * cb.c) as lift from n join c ca on a = ca.item join c cb on b = cb.item, t
+"""
+ORACLE_SQL["p7_pairs"] = f"select lexeme_a, lexeme_b, n, n_a, n_b, round(lift, 6) as lift from ({_PAIRS_SQL})"
+ORACLE_SQL["p7_found"] = f"select lexeme_a, lexeme_b from ({_PAIRS_SQL}) where n >= 5 and lift >= 6"
+
+ORACLE_SQL["p1_found"] = """
+with u as (select distinct number, array_to_string(list_filter(half_verses_unvocalized, lambda x: x is not null), ' ') as t from psalm where number is not null),
+ug as (select distinct number, substring(t, cast(i as bigint), 60) as g from (select number, t, unnest(range(1, length(t) - 58)) as i from u where length(t) >= 60)),
+l as (select distinct number, list_filter(flatten(list_filter(half_verse_lexemes, lambda x: x is not null)), lambda x: x is not null) as w from lexical_psalm where number is not null),
+lg as (select distinct number, w[i:i + 11] as g from (select number, w, unnest(range(1, len(w) - 10)) as i from l where len(w) >= 12))
+select distinct 'unvocalized' as field_name, a.number as number_a, b.number as number_b from ug a join ug b on a.g = b.g and a.number < b.number
+union all select distinct 'lexemes', a.number, b.number from lg a join lg b on a.g = b.g and a.number < b.number
+"""
+ORACLE_SQL["p5_found"] = """
+with v as (select node_id, min(vector) as v from part_0 where node_id is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by node_id),
+q as (select distinct node_id from probe_node where task = 'neighbours'),
+s as (select a.node_id as x, b.node_id as y, list_cosine_similarity(cast(a.v as double[]), cast(b.v as double[])) as c from v a join q using (node_id) join v b on a.node_id <> b.node_id),
+r as (select x, y, row_number() over (partition by x order by c desc, y) as k from s)
+select distinct least(x, y) as node_a, greatest(x, y) as node_b from r where k <= 5
+"""
+ORACLE_SQL["p6_found"] = r"""
+with u as (select distinct 'unvocalized' as field, number, list_filter(regexp_split_to_array(array_to_string(list_filter(half_verses_unvocalized, lambda x: x is not null), ' '), '[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+'), lambda x: x <> '') as w from psalm where number is not null
+ union all select distinct 'forms', number, list_filter(flatten(list_filter(half_verse_forms, lambda x: x is not null)), lambda x: x is not null) from lexical_psalm where number is not null),
+s as (select field, number, len(w) as n from u), t as (select field, number, word, count(*) as c from (select field, number, unnest(w) as word from u) group by all),
+m as (select a.field, a.number as x, b.number as y, sum(least(a.c, b.c)) as i from t a join t b on a.field = b.field and a.word = b.word and a.number < b.number group by all)
+select m.field as field_name, x as number_a, y as number_b from m join s a on a.field = m.field and a.number = x join s b on b.field = m.field and b.number = y where 10 * i >= 7 * (a.n + b.n - i)
+"""
