@@ -1 +1 @@
-"""Part of the feature engine."""
+"""Column expressions."""

@@ -1 +1 @@
-"""Part of the feature engine."""
+"""Relational operators over canonical segments and tokens."""

@@ -1 +1 @@
-"""Part of the feature engine."""
+"""Constructions, dataset catalog, model registry, encoders and the pipelines over them."""
