@@ -1,4 +1,403 @@
-"""Registered queries of the core and their SQL."""
+"""Registered queries of the core, over the psalm tables, and their SQL for DuckDB.
+
+Groups are psalms, segments half-verses, tokens words; the corpus whose frequencies make the weights is corpus_word.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspace.functions.dense import all_finite, densify, norm, rotary_tables
+from lexspace.functions.text import strip_marks, strip_space
+from lexspace.operators import frequency as freq
+from lexspace.operators import position, recurrence
+from lexspace.operators.shuffle import shuffled_order
+from lexspace.operators.vocabulary import vocabulary
+from lexspace.plans.catalog import not_written
+from lexspace.plans.constructions import CONSTRUCTIONS, Prepared, build, prepare
+from lexspace.plans.encode import batch_numbers, encode, node_vectors, spans
+from lexspace.plans.pipeline import text_segments
+from lexspace.plans.registry import model_variations
+from lexspace.sources.corpus import LEXICAL_UNITS, TIERS, UNITS, in_scope, nested_from_words, segment_texts, segments, tokens, variant, words
+from lexspace.storage import table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+SEEDS = [1, 2, 3]
+BOOK = "Sefer Alef"
+
+
+def nested_table(unit: str) -> str:
+    return "lexical_psalm" if unit in LEXICAL_UNITS else "surface_psalm"
+
+
+def unit_name(unit: str) -> str:
+    return unit if unit in LEXICAL_UNITS else f"word_{unit}"
+
+
+def prepared(spark: SparkSession, sf: str, unit: str) -> Prepared:
+    return prepare(table(spark, sf, nested_table(unit)), unit, table(spark, sf, "corpus_word"), strict=False)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def add(name: str, f, sql: str | None = None) -> None:
+    QUERIES[name] = f
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+# --- SQL pieces -------------------------------------------------------------------------------------------------
+
+_MARKS_SQL = r"'[\x{0591}-\x{05AF}]', '', 'g'"
+_WORDS = "w as (select node, w.* from (select node, first(c order by loaded_at) as w from (select node, loaded_at, struct_pack(half_verse_node := half_verse_node, number := number, lex := lex, lex0 := lex0, freq_lex := freq_lex, g_cons := g_cons, g_word := g_word, trailer := trailer) as c from corpus_word where node is not null) group by node))"
+_TOTAL = "tot as (select count(distinct node) as total from corpus_word where node is not null)"
+_FIRST = "fl as (select lex, first(lex0 order by node) as lex0, first(freq_lex order by node) as f from corpus_word where node is not null and lex is not null and lex0 is not null and freq_lex is not null group by lex)"
+
+
+def _value_sql(unit: str) -> str:
+    column = UNITS[unit][1]
+    return f"regexp_replace({column}, {_MARKS_SQL})" if unit == "vocalized" else column
+
+
+def _frequency_sql(unit: str) -> str:
+    """CTEs up to fr(value, f)."""
+    if unit == "lexeme":
+        return f"{_FIRST}, fr as (select lex as value, cast(f as bigint) as f from fl)"
+    if unit == "homograph":
+        return f"{_FIRST}, fr as (select lex0 as value, cast(sum(f) as bigint) as f from fl group by lex0)"
+    return f"{_WORDS}, fr as (select {_value_sql(unit)} as value, count(*) as f from w where {UNITS[unit][1]} is not null group by 1)"
+
+
+def _tokens_sql(unit: str) -> str:
+    """CTEs up to seg(group_id, n, seg_idx, node_id) and tok(group_id, n, seg_idx, node_id, tok_idx, value)."""
+    name, column = nested_table(unit), UNITS[unit][0]
+    return f"""g as (select number as group_id, first(half_verse_nodes order by loaded_at) as nodes, first({column} order by loaded_at) as ws from {name} where number is not null group by number),
+s0 as (select group_id, len(nodes) as n, unnest(range(len(nodes))) as seg_idx, unnest(nodes) as node_id, unnest(ws) as w from g),
+seg as (select group_id, n, seg_idx, node_id from s0 where node_id is not null),
+tok as (select * from (select group_id, n, seg_idx, node_id, unnest(range(len(w))) as tok_idx, unnest(w) as value from s0 where node_id is not null) where value is not null)"""
+
+
+def _tf_sql(unit: str) -> str:
+    """CTEs up to tf(group_id, n, seg_idx, node_id, idx, size, w, tf)."""
+    return f"""with {_tokens_sql(unit)}, {_TOTAL}, {_frequency_sql(unit)},
+voc as (select value, row_number() over (order by value) - 1 as idx, count(*) over () as size from (select distinct value from tok)),
+dic as (select value, idx, size, coalesce(ln((total + 1) / (f + 1)), ln(total + CAST(1 AS DOUBLE))) + 1 as w from voc left join fr using (value), tot),
+tf as (select group_id, n, seg_idx, node_id, idx, size, w, count(*) as tf from tok join dic using (value) group by all)"""
+
+
+_ROUND = "cast(idx as bigint) as idx, round(val, 6) + 0.0 as val"
+_T = "((seg_idx + CAST(0.5 AS DOUBLE)) / n)"
+
+
+def _bin_sql(k: int) -> str:
+    return f"cast(least(floor({_T} * {k}), {k - 1}) as bigint)"
+
+
+_COS = """u as (select group_id, n, seg_idx, node_id, idx, w / sqrt(sum(w * w) over (partition by node_id)) as u from tf where w <> 0),
+c as (select a.group_id, a.seg_idx as i, b.seg_idx as j, sum(a.u * b.u) as cos from u a join u b on a.group_id = b.group_id and a.idx = b.idx and a.seg_idx < b.seg_idx group by all)"""
+
+
+def _lag_sql(k: int) -> str:
+    return f"cast(least(floor((b.seg_idx - a.seg_idx) * CAST({k} AS DOUBLE) / (a.n - 1)), {k - 1}) as bigint)"
+
+
+def construction_sql(name: str, unit: str) -> str:
+    tf = _tf_sql(unit)
+    simple = {"binary": "CAST(1 AS DOUBLE)", "count": "cast(tf as double)", "log_count": "ln(1 + tf)", "icf": "w", "tf_icf": "ln(1 + tf) * w"}
+    if name in simple:
+        return f"{tf} select node_id, cast(idx as bigint) as idx, round({simple[name]}, 6) as val from tf"
+    group, base = name.endswith("_psalm"), name.removesuffix("_psalm")
+    if base == "icf_position_mean":
+        if group:
+            return f"""{tf}, z as (select group_id, idx, size, w, avg({_T}) as t from tf group by all),
+h as (select group_id, idx, w as val from z union all select group_id, size + idx, w * (2 * t - 1) from z)
+select node_id, {_ROUND} from seg join h using (group_id)"""
+        return f"{tf}, h as (select node_id, idx, w as val from tf union all select node_id, size + idx, w * (2 * {_T} - 1) from tf) select node_id, {_ROUND} from h"
+    k = int(base[-1])
+    if base.startswith("icf_position"):
+        if group:
+            return f"{tf}, h as (select group_id, {_bin_sql(k)} * size + idx as idx, sum(w) as val from tf group by all) select node_id, {_ROUND} from seg join h using (group_id)"
+        return f"{tf}, h as (select node_id, {_bin_sql(k)} * size + idx as idx, w as val from tf) select node_id, {_ROUND} from h"
+    pairs = f"""{tf}, {_COS}, p as (select a.group_id, a.node_id as x, b.node_id as y, {_lag_sql(k)} as bin, coalesce(cos, 0) as cos
+from seg a join seg b on a.group_id = b.group_id and a.seg_idx < b.seg_idx left join c on c.group_id = a.group_id and c.i = a.seg_idx and c.j = b.seg_idx)"""
+    if group:
+        return f"{pairs}, h as (select group_id, bin as idx, avg(cos) as val from p group by all) select node_id, {_ROUND} from seg join h using (group_id)"
+    return f"{pairs}, h as (select node_id, bin as idx, avg(cos) as val from (select x as node_id, bin, cos from p union all select y, bin, cos from p) group by all) select node_id, {_ROUND} from h"
+
+
+# --- constructions ----------------------------------------------------------------------------------------------
+
+
+def _construction(unit: str, name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return build(name, prepared(spark, sf, unit)).select("node_id", "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+
+    return run
+
+
+for _unit in UNITS:
+    for _name in CONSTRUCTIONS:
+        add(f"{unit_name(_unit)}_{_name}", _construction(_unit, _name), construction_sql(_name, _unit))
+
+# --- frequencies and vocabularies -------------------------------------------------------------------------------
+
+
+@query(f"with {_TOTAL} select total from tot")
+def total_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return freq.total_tokens(table(spark, sf, "corpus_word"))
+
+
+def _frequency(unit: str):
+    return lambda spark, sf: freq.frequency(table(spark, sf, "corpus_word"), unit)
+
+
+def _weights(unit: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        corpus = table(spark, sf, "corpus_word")
+        return freq.icf_weights(freq.frequency(corpus, unit), freq.total_tokens(corpus)).select("value", "f", F.round("w", 6).alias("w"))
+
+    return run
+
+
+def _vocabulary(unit: str):
+    return lambda spark, sf: vocabulary(tokens(table(spark, sf, nested_table(unit)), unit)).select("value", "idx")
+
+
+def _icf_vector(unit: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return prepared(spark, sf, unit).dictionary.select("idx", F.round("w", 6).alias("val"))
+
+    return run
+
+
+def _tokens(unit: str):
+    return lambda spark, sf: tokens(table(spark, sf, nested_table(unit)), unit)
+
+
+for _unit in UNITS:
+    add(f"frequency_{_unit}", _frequency(_unit), f"with {_frequency_sql(_unit)} select value, f from fr")
+    add(f"icf_weights_{_unit}", _weights(_unit), f"with {_TOTAL}, {_frequency_sql(_unit)} select value, f, round(ln((total + 1) / (f + 1)) + 1, 6) as w from fr, tot")
+    add(f"vocabulary_{_unit}", _vocabulary(_unit), f"with {_tokens_sql(_unit)} select value, cast(row_number() over (order by value) - 1 as int) as idx from (select distinct value from tok)")
+    add(f"icf_vector_{_unit}", _icf_vector(_unit), f"{_tf_sql(_unit)} select cast(idx as int) as idx, round(w, 6) as val from dic")
+    add(f"tokens_{_unit}", _tokens(_unit), f"with {_tokens_sql(_unit)} select group_id, cast(n as int) as n, cast(seg_idx as int) as seg_idx, node_id, cast(tok_idx as int) as tok_idx, value from tok")
+
+# --- sources ----------------------------------------------------------------------------------------------------
+
+_SEG = _tokens_sql("lexeme")
+
+
+@query(f"with {_SEG} select group_id, cast(n as int) as n, cast(seg_idx as int) as seg_idx, node_id from seg")
+def segments_of_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return segments(table(spark, sf, "lexical_psalm"))
+
+
+@query("select distinct number, len(half_verse_nodes) as segments from lexical_psalm where book = 'Sefer Alef' and number is not null")
+def scope_of_book(spark: SparkSession, sf: str) -> DataFrame:
+    return in_scope(table(spark, sf, "lexical_psalm"), BOOK).where("number is not null").select("number", F.size("half_verse_nodes").cast("long").alias("segments")).distinct()
+
+
+@query(f"with {_WORDS} select node, number, half_verse_node, lex, lex0, coalesce(freq_lex, -1) as freq_lex, g_cons, g_word, trailer from w")
+def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
+    return words(table(spark, sf, "corpus_word")).select("node", "number", "half_verse_node", "lex", "lex0", F.coalesce("freq_lex", F.lit(-1)).alias("freq_lex"), "g_cons", "g_word", "trailer")
+
+
+@query("select distinct half_verse_node, number from corpus_word where half_verse_node is not null")
+def containment(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "corpus_word").where("half_verse_node is not null").select("half_verse_node", "number").distinct()
+
+
+@query(f"""with {_WORDS}, s as (select number, half_verse_node, string_agg(coalesce(g_cons, '') || coalesce(trailer, ''), '' order by node) as c, string_agg(coalesce(g_word, '') || coalesce(trailer, ''), '' order by node) as t from w where half_verse_node is not null group by all)
+select number, half_verse_node as node_id, trim(t, e' \\t\\n\\r\\u00a0') as text, trim(c, e' \\t\\n\\r\\u00a0') as text_consonantal, regexp_replace(trim(t, e' \\t\\n\\r\\u00a0'), {_MARKS_SQL}) as text_vocalized from s""")
+def segment_text(spark: SparkSession, sf: str) -> DataFrame:
+    return segment_texts(words(table(spark, sf, "corpus_word")))
+
+
+@query(f"""with {_WORDS}, s as (select number, half_verse_node, list(lex order by node) as l, list(g_cons order by node) as c from w where number is not null and half_verse_node is not null group by all)
+select number, cast(count(*) as bigint) as segments, cast(sum(len(l)) as bigint) as words, cast(sum(len(list_filter(c, lambda x: x is not null))) as bigint) as forms from s group by number""")
+def groups_from_words(spark: SparkSession, sf: str) -> DataFrame:
+    nested = nested_from_words(words(table(spark, sf, "corpus_word")), "lexeme", "consonantal")
+    total = F.aggregate(F.transform("lexeme", lambda x: F.size(x)), F.lit(0), lambda s, x: s + x)
+    known = F.aggregate(F.transform("consonantal", lambda x: F.size(F.filter(x, lambda y: y.isNotNull()))), F.lit(0), lambda s, x: s + x)
+    return nested.select("number", F.size("nodes").cast("long").alias("segments"), total.cast("long").alias("words"), known.cast("long").alias("forms"))
+
+
+# --- text -------------------------------------------------------------------------------------------------------
+
+
+@query(f"select distinct g_word, regexp_replace(g_word, {_MARKS_SQL}) as stripped from corpus_word")
+def strip_marks_of_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "corpus_word").select("g_word").distinct().withColumn("stripped", strip_marks(F.col("g_word")))
+
+
+_SPACE = r"[ \t\n\x{0b}\x{0c}\r\x{85}\p{Z}]+"
+
+
+@query(rf"select distinct trailer, regexp_replace(regexp_replace(trailer, '^{_SPACE}', ''), '{_SPACE}$', '') as stripped from corpus_word")
+def strip_space_of_trailers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "corpus_word").select("trailer").distinct().withColumn("stripped", strip_space(F.col("trailer")))
+
+
+def _variant_sql(column: str) -> str:
+    return f"""with g as (select number, first(half_verse_nodes order by loaded_at) as nodes, first({column} order by loaded_at) as t from psalm where number is not null group by number)
+select number as group_id, cast(seg_idx as int) as seg_idx, node_id, text from (select number, unnest(range(len(nodes))) as seg_idx, unnest(nodes) as node_id, unnest(t) as text from g) where node_id is not null"""
+
+
+def _variant(vocalized: bool, niqqud_only: bool):
+    return lambda spark, sf: text_segments(table(spark, sf, "psalm"), vocalized, niqqud_only)
+
+
+add("text_cantillation", _variant(True, False), _variant_sql("half_verses"))
+add("text_vocalized", _variant(True, True), _variant_sql("half_verses_niqqud_only"))
+add("text_consonantal", _variant(False, False), _variant_sql("half_verses_unvocalized"))
+
+# --- positions, lags, orders ------------------------------------------------------------------------------------
+
+
+@query(f"with {_SEG} select group_id, node_id, round({_T}, 6) as t, {_bin_sql(2)} as bin2, {_bin_sql(4)} as bin4, {_bin_sql(8)} as bin8 from seg")
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = position.with_position(segments(table(spark, sf, "lexical_psalm")))
+    p, n = F.col("position"), F.col("n")
+    return rows.select("group_id", "node_id", F.round(position.place(p, n), 6).alias("t"), *[position.place_bin(p, n, k).alias(f"bin{k}") for k in (2, 4, 8)])
+
+
+@query(f"with {_SEG} select a.group_id, cast(a.seg_idx as int) as i, cast(b.seg_idx as int) as j, round((b.seg_idx - a.seg_idx) / (a.n - 1), 6) as lag, {_lag_sql(4)} as bin4 from seg a join seg b on a.group_id = b.group_id and a.seg_idx < b.seg_idx")
+def pair_lags(spark: SparkSession, sf: str) -> DataFrame:
+    own = segments(table(spark, sf, "lexical_psalm"))
+    lags = recurrence.pair_lags(own).join(own.select("group_id", "n").distinct(), "group_id")
+    return lags.select("group_id", "i", "j", F.round("lag", 6).alias("lag"), recurrence.lag_bin(F.col("j") - F.col("i"), F.col("n"), 4).alias("bin4"))
+
+
+@query(f"{_tf_sql('homograph')}, {_COS} select group_id, cast(i as int) as i, cast(j as int) as j, round(cos, 6) as cos from c")
+def pair_cosines(spark: SparkSession, sf: str) -> DataFrame:
+    return recurrence.pair_cosines(prepared(spark, sf, "homograph").tf).select("group_id", "i", "j", F.round("cos", 6).alias("cos"))
+
+
+_ORDER = f"ord as (select group_id, seed, seg_idx, row_number() over (partition by group_id, seed order by md5(group_id || ':' || seed || ':' || seg_idx), seg_idx) - 1 as position from seg, (select unnest([1, 2, 3]) as seed))"
+
+
+@query(f"with {_SEG}, {_ORDER} select group_id, cast(seed as int) as seed, cast(position as int) as position, cast(seg_idx as int) as seg_idx from ord")
+def shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
+    return shuffled_order(segments(table(spark, sf, "lexical_psalm")), SEEDS)
+
+
+def _with_seed(spark: SparkSession, sf: str) -> tuple[Prepared, DataFrame, DataFrame]:
+    """Relations whose groups are (group, seed), so that all seeds are made in one job."""
+    p = prepared(spark, sf, "homograph")
+    order = shuffled_order(p.segments, SEEDS)
+    key = F.concat_ws(":", F.col("group_id").cast("string"), F.col("seed").cast("string"))
+    seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")
+    tf = p.tf.select("*", seeds).withColumn("group_id", key)
+    return Prepared(p.segments.select("*", seeds).withColumn("group_id", key), tf, p.dictionary), order.withColumn("group_id", key), tf
+
+
+@query(f"{_tf_sql('homograph')}, {_ORDER}, x as (select seed, node_id, least(floor((position + CAST(0.5 AS DOUBLE)) / n * 4), 3) * size + idx as idx, w as val from tf join ord using (group_id, seg_idx)) select cast(seed as int) as seed, node_id, {_ROUND} from x")
+def icf_position4_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    p, order, _ = _with_seed(spark, sf)
+    long = position.pyramid(p.tf, 4, order)
+    return long.select(F.split("group_id", ":")[1].cast("int").alias("seed"), "node_id", "idx", F.round("val", 6).alias("val"))
+
+
+@query(f"""{_tf_sql('homograph')}, {_ORDER}, z as (select group_id, seed, idx, size, w, avg((position + CAST(0.5 AS DOUBLE)) / n) as t from tf join ord using (group_id, seg_idx) group by all),
+h as (select group_id, seed, idx, w as val from z union all select group_id, seed, size + idx, w * (2 * t - 1) from z) select cast(seed as int) as seed, group_id, {_ROUND} from h""")
+def icf_position_mean_psalm_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    p, order, _ = _with_seed(spark, sf)
+    parts = F.split("group_id", ":")
+    long = position.group_zoning(p.tf, order)
+    return long.select(parts[1].cast("int").alias("seed"), parts[0].cast("int").alias("group_id"), "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+
+
+# --- dense vectors ----------------------------------------------------------------------------------------------
+
+_FINITE = "len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0"
+
+
+@query(f"select node_id, vector is not null and {_FINITE} as finite, case when vector is not null and {_FINITE} then round(sqrt(list_sum(list_transform(vector, lambda x: cast(x as double) * cast(x as double)))), 4) end as norm from part_0 where vector is null or len(vector) > 0")
+def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part_0").where("vector is null or size(vector) > 0")
+    finite = F.coalesce(all_finite(F.col("vector")), F.lit(False))
+    return rows.select("node_id", finite.alias("finite"), F.when(finite, F.round(norm(F.col("vector")), 4)).alias("norm"))
+
+
+@query(f"{_tf_sql('lexeme')}, x as (select node_id, sum(w) as total, sqrt(sum(w * w)) as length, count(*) as entries from tf group by node_id) select seg.node_id, any_value(v.size) as dim, round(coalesce(any_value(total), 0), 3) as total, round(coalesce(any_value(length), 0), 3) as length, coalesce(any_value(entries), 0) as entries from seg left join x using (node_id), (select max(size) as size from voc) v group by seg.node_id")
+def dense_icf(spark: SparkSession, sf: str) -> DataFrame:
+    p = prepared(spark, sf, "lexeme")
+    size = p.dictionary.agg(F.max("size").alias("v")).first().v or 0
+    dense = densify(build("icf", p), p.segments, int(size))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return dense.select("node_id", F.size("vector").cast("long").alias("dim"), F.round(total, 3).alias("total"), F.round(norm(F.col("vector")), 3).alias("length"), F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("entries"))
+
+
+@query("select distinct p.node_id, s.group_id, cast(s.seg_idx as int) as seg_idx from part_0 p join (select number as group_id, unnest(range(len(half_verse_nodes))) as seg_idx, unnest(half_verse_nodes) as node_id from (select distinct on (number) * from lexical_psalm where number is not null)) s using (node_id) where p.vector is not null")
+def node_vectors_join(spark: SparkSession, sf: str) -> DataFrame:
+    own = segments(table(spark, sf, "lexical_psalm"))
+    embedded = table(spark, sf, "part_0").where("vector is not null").join(own.select("node_id", "group_id", "seg_idx"), "node_id").select("group_id", "seg_idx", "vector")
+    found = node_vectors(embedded, own).select("node_id").distinct()
+    return found.join(own, "node_id").select("node_id", "group_id", "seg_idx")
+
+
+@query("select cast(p.i as int) as position, cast(i.i as int) as i, round(cos(p.i / pow(10000, 2.0 * i.i / 64)), 6) as cos, round(sin(p.i / pow(10000, 2.0 * i.i / 64)), 6) as sin from range(64) p(i), range(32) i(i)")
+def rotary(spark: SparkSession, sf: str) -> DataFrame:
+    return rotary_tables(spark, 64, 64).select("position", "i", F.round("cos", 6).alias("cos"), F.round("sin", 6).alias("sin"))
+
+
+# --- encoders, plans --------------------------------------------------------------------------------------------
+
+
+def _lengths():
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+_TEXTS = _variant_sql("half_verses_unvocalized")
+
+
+@query(f"select node_id, cast(length(coalesce(text, '')) as double) as first, CAST(1 AS DOUBLE) as second from ({_TEXTS})")
+def encode_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    got = encode(text_segments(table(spark, sf, "psalm"), False, False), _lengths, dim=2, batch=96)
+    return got.select("node_id", F.col("vector")[0].cast("double").alias("first"), F.col("vector")[1].cast("double").alias("second"))
+
+
+@query(f"with {_SEG} select group_id, node_id, cast(floor(seg_idx / 96) as int) as batch from seg")
+def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return batch_numbers(segments(table(spark, sf, "lexical_psalm")), 96, "seg_idx").select("group_id", "node_id", "batch")
+
+
+@query(f"with {_SEG} select group_id, cast(coalesce(sum(m) over (order by group_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(sum(m) over (order by group_id) as bigint) as \"end\" from (select group_id, count(*) as m from seg group by group_id)")
+def group_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans(segments(table(spark, sf, "lexical_psalm")))
+
+
+def _plan(spark: SparkSession) -> DataFrame:
+    units = spark.createDataFrame([(unit_name(u),) for u in UNITS], "unit string")
+    names = spark.createDataFrame([(c,) for c in CONSTRUCTIONS], "construction string")
+    return units.crossJoin(F.broadcast(names))  # literal tables
+
+
+_UNITS_SQL = ", ".join(f"'{unit_name(u)}'" for u in UNITS)
+_NAMES_SQL = ", ".join(f"'{c}'" for c in CONSTRUCTIONS)
+_PLAN_SQL = f"select unit, construction from (select unnest([{_UNITS_SQL}]) as unit), (select unnest([{_NAMES_SQL}]) as construction)"
+
+
+@query(_PLAN_SQL)
+def dataset_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return _plan(spark)
+
+
+@query(f"select unit, construction from ({_PLAN_SQL}) where not (unit = 'lexeme' and construction in ('icf', 'binary'))")
+def dataset_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    written = spark.createDataFrame([("lexeme", "icf"), ("lexeme", "binary")], "unit string, construction string")
+    return not_written(_plan(spark), written, ["unit", "construction"])
+
+
+@query()
+def model_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    return model_variations(spark)

@@ -96,9 +96,9 @@ def unit_value(unit: str) -> Column:
 def nested_from_words(flat: DataFrame, *units: str) -> DataFrame:
     """(number, nodes, <unit>...): groups rebuilt from flat words, in node order; groups in order of number are left to the reader."""
     by_segment = flat.where("number is not null and half_verse_node is not null").groupBy("number", "half_verse_node").agg(F.array_sort(F.collect_list(F.struct("node", *[unit_value(u).alias(u) for u in units]))).alias("w"))
-    own = by_segment.select("number", "half_verse_node", *[F.transform("w", lambda x, u=u: x[u]).alias(u) for u in units])
+    own = by_segment.select("number", "half_verse_node", *[F.col(f"w.{u}").alias(u) for u in units])
     by_group = own.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("half_verse_node", *units))).alias("s"))
-    return by_group.select("number", F.transform("s", lambda x: x["half_verse_node"]).alias("nodes"), *[F.transform("s", lambda x, u=u: x[u]).alias(u) for u in units])
+    return by_group.select("number", F.col("s.half_verse_node").alias("nodes"), *[F.col(f"s.{u}").alias(u) for u in units])
 
 
 def segment_texts(flat: DataFrame) -> DataFrame:
