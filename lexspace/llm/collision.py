@@ -74,7 +74,7 @@ class Queries:
             lo.append(np.searchsorted(line, q - radius))
             hi.append(np.searchsorted(line, q + radius, side="right"))
         lo, hi = np.array(lo).T.tolist(), np.array(hi).T.tolist()
-        number, at = [], []
+        got, number, at, held = [], [], [], 0
         flat = list(order)
         for q in range(len(self.keys)):
             hits = np.concatenate([o[a:b] for o, a, b in zip(flat, lo[q], hi[q], strict=True)])
@@ -82,9 +82,15 @@ class Queries:
             if len(near):
                 number.append(np.full(len(near), q))
                 at.append(near)
-        if not number:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        number, at = np.concatenate(number), np.concatenate(at)
+                held += len(near)
+            if held > 500_000:
+                got.append(self._verified(np.concatenate(number), np.concatenate(at), keys, rows))
+                number, at, held = [], [], 0
+        if number:
+            got.append(self._verified(np.concatenate(number), np.concatenate(at), keys, rows))
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+    def _verified(self, number: np.ndarray, at: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cosine = np.empty(len(at), np.float32)
         for s in range(0, len(at), 1 << 16):
             part = slice(s, s + (1 << 16))

@@ -17,6 +17,8 @@ A record is a sequence of symbols: the code points of a text or the tokens of a
 Contexts of `run` symbols on each side are enough: shared anchors of one span lie at most run-k+1 apart, so the
 pieces seen from them cover the whole span, whatever its length.
 
+Of keys with the same body (a group of copies may hold a third of all) one goes through this; the others get its spans, and are shared as a whole.
+
 Null keys, null or short bodies give no rows. Repeated deliveries of a key (equal bodies) count once; a span that
 repeats only within one record isn't shared. Symbols are compared exactly. Other columns are ignored.
 """
@@ -98,22 +100,15 @@ def _depths(sides: list, run: int) -> np.ndarray:
     return out
 
 
-def _node(node: list[tuple], run: int, cell: tuple[int, int]) -> Iterator[tuple]:
-    """Pairs (a, b, left, right) of rows of a deep node (number, pos, chunk, left, right) that share a span."""
-    if len(node) == 2:
-        (a, b) = node
-        if a[0] != b[0] and (cell[0] == cell[1] or a[2] != b[2]):
-            right, left = _common(a[4], b[4], run), _common(a[3], b[3], run)
-            if left + right >= run:
-                yield 0, 1, left, right
-        return
-    right, left = _depths([r[4] for r in node], run), _depths([r[3] for r in node], run)
+def _node(node: list[tuple], run: int, cell: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Pairs (i, j, left, right) of rows of a deep node (number, pos, chunk, left, right) that share a span."""
     number, chunk = np.array([r[0] for r in node]), np.array([r[2] for r in node])
-    ok = (right + left >= run) & (number[:, None] != number[None, :])
+    ok = number[:, None] != number[None, :]
     if cell[0] != cell[1]:
         ok &= chunk[:, None] != chunk[None, :]
-    for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-        yield int(i), int(j), int(left[i, j]), int(right[i, j])
+    right, left = _depths([r[4] for r in node], run), _depths([r[3] for r in node], run)
+    i, j = np.nonzero(np.triu(ok & (right + left >= run), 1))
+    return i, j, left[i, j], right[i, j]
 
 
 def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bool = True, group_suffixes: int = GROUP_SUFFIXES, chunk: int = CHUNK) -> DataFrame:
@@ -124,6 +119,9 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
     spark = records.sparkSession
     ship_package(spark)
     records = records.select("field", F.col("number").cast("long").alias("number"), "body").where("field is not null and number is not null and body is not null")
+    members = _copies(records, runs)
+    if copied := not members.isEmpty():
+        records = records.join(members.where("number <> rep").select("field", "number"), ["field", "number"], "left_anti")
 
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -167,18 +165,17 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
         def close() -> None:
             if len(node) > 1:
                 field, ci, cj = key
-                run = runs[field][1]
+                i, j, left, right = _node(node, runs[field][1], (ci, cj))
                 if pairs:
-                    for i, j, _, _ in _node(node, run, (ci, cj)):
-                        a, b = node[i][0], node[j][0]
-                        out.add((field, min(a, b), max(a, b)))
+                    number = np.array([r[0] for r in node])
+                    ends = np.unique(np.sort(np.stack([number[i], number[j]], axis=1), axis=1), axis=0)
+                    out.update((field, a, b) for a, b in ends.tolist())
                 else:
-                    most: dict[int, list[int]] = {}
-                    for i, j, left, right in _node(node, run, (ci, cj)):
-                        for x in (i, j):
-                            m = most.setdefault(x, [0, 0])
-                            m[:] = max(m[0], left), max(m[1], right)
-                    out.update((field, node[x][0], node[x][1] - left, node[x][1] + right) for x, (left, right) in most.items())
+                    most = np.zeros((2, len(node)), np.int64)
+                    for x in (i, j):
+                        np.maximum.at(most[0], x, left)
+                        np.maximum.at(most[1], x, right)
+                    out.update((field, node[x][0], node[x][1] - int(most[0, x]), node[x][1] + int(most[1, x])) for x in np.flatnonzero(most.any(axis=0)).tolist())
             node.clear()
 
         def flush() -> pd.DataFrame:
@@ -200,8 +197,38 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
         yield flush()
 
     if pairs:
-        return parts.mapInPandas(walk, "field string, number_a long, number_b long").distinct()
-    return parts.mapInPandas(walk, "field string, number long, start int, stop int").distinct()
+        found = parts.mapInPandas(walk, "field string, number_a long, number_b long").distinct()
+        return _with_copied_pairs(found, members) if copied else found
+    found = parts.mapInPandas(walk, "field string, number long, start int, stop int").distinct()
+    if not copied:
+        return found
+    own = found.withColumnRenamed("number", "rep").join(members.select("field", "rep", "number"), ["field", "rep"]).select("field", "number", "start", "stop")
+    whole = members.select("field", "number", F.lit(0).alias("start"), F.col("symbols").alias("stop"))
+    alone = found.join(members.select("field", "number"), ["field", "number"], "left_anti")
+    return own.unionByName(alone).unionByName(whole).distinct()
+
+
+def _copies(records: DataFrame, runs: dict[str, tuple[str, int]]) -> DataFrame:
+    """(field, rep, number, symbols) of the records, long enough for a span, whose body other keys have too; rep is the least of them."""
+    size = F.lit(None).cast("int")
+    long_enough = F.lit(False)
+    for field, (unit, run) in runs.items():
+        n = F.length("body") if unit == "char" else F.length("body") - F.length(F.replace("body", F.lit(END), F.lit("")))
+        size = F.when(F.col("field") == field, n).otherwise(size)
+        long_enough = long_enough | ((F.col("field") == field) & (n >= run))
+    keys = materialise(records.where(long_enough).select("field", "number", F.sha2("body", 256).alias("h"), size.alias("symbols")), "p1-keys")
+    classes = keys.groupBy("field", "h").agg(F.min("number").alias("rep"), F.max("number").alias("top")).where("rep < top").select("field", "h", "rep")
+    return materialise(keys.join(classes, ["field", "h"]).select("field", "rep", "number", "symbols").distinct(), "p1-copies")
+
+
+def _with_copied_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of representatives, of all their copies, and of copies of one body."""
+    m = members.select("field", "rep", "number")
+    a = found.join(m.select("field", F.col("rep").alias("number_a"), F.col("number").alias("x")), ["field", "number_a"], "left").select("field", F.coalesce("x", "number_a").alias("x"), "number_b")
+    b = a.join(m.select("field", F.col("rep").alias("number_b"), F.col("number").alias("y")), ["field", "number_b"], "left").select("field", "x", F.coalesce("y", "number_b").alias("y"))
+    other = m.select("field", "rep", F.col("number").alias("y"))
+    within = m.join(other, ["field", "rep"]).where("number < y").select("field", F.col("number").alias("x"), "y")
+    return b.unionByName(within).select("field", F.least("x", "y").alias("number_a"), F.greatest("x", "y").alias("number_b"))
 
 
 def _with_prefix(suffixes: DataFrame, runs: dict[str, tuple[str, int]], most: int) -> DataFrame:
