@@ -6,7 +6,7 @@ the segment's position, so no pair is made just to be counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspace.operators.position import with_position
@@ -28,8 +28,8 @@ def pair_lags(segments: DataFrame, order: DataFrame | None = None) -> DataFrame:
 def pair_cosines(tf: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """(group_id, n, i, j, node_i, node_j, cos) of the pairs of segments i < j that share a value; the others' cosine is 0."""
     rows = with_position(tf, order).select("group_id", "n", "node_id", "position", "idx", "w")
-    norms = rows.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = rows.join(norms, "node_id").where("norm > 0").select("group_id", "n", "node_id", "position", "idx", (F.col("w") / F.col("norm")).alias("u"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("node_id")))
+    unit = rows.withColumn("norm", norm).where("norm > 0").select("group_id", "n", "node_id", "position", "idx", (F.col("w") / F.col("norm")).alias("u"))
     other = unit.select("group_id", "idx", F.col("node_id").alias("node_j"), F.col("position").alias("j"), F.col("u").alias("v"))
     both = unit.join(other, ["group_id", "idx"]).where("position < j")
     return both.groupBy("group_id", "n", F.col("position").alias("i"), "j", F.col("node_id").alias("node_i"), "node_j").agg(F.sum(F.col("u") * F.col("v")).alias("cos"))
