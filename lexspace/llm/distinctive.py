@@ -5,8 +5,8 @@ by an exponent a (0.75), P(record) = size^a / sum of size^a, and
     ppmi = max(0, ln(tf / T / (P(term) * P(record)))), P(term) = occurrences / T.
 The same joint counts give tf_icf = ln(1+tf) * (ln((N+1)/(df+1)) + 1), the measure the engine weights its vectors by; `most_distinctive` ranks by it.
 
-Only group-bys and joins: one shuffle makes the joint counts, each aggregated before it is sent; the marginals of terms and records are aggregates of
-them. A term that most records have is one row for each record in the joint counts, never a group in one task; the join with the
+Only group-bys, joins and sums over a record: one shuffle makes the joint counts, each aggregated before it is sent; they are written once, and the marginals of terms and
+records are aggregates of them. A term that most records have is one row for each record in the joint counts, never a group in one task; the join with the
 marginal counts is left to the planner (broadcast while they are small, sorted beyond, split where skewed).
 
 Null keys are left out, repeated deliveries of a key count once, null terms are left out, the empty string is a term like others; a record without terms counts in N;
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspace.storage import materialise
+
 SMOOTHING = 0.75
 
 
@@ -33,13 +35,13 @@ def association(records: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """(field, number, term, tf, df, ppmi, tf_icf) of every term of every record."""
     keys = records.select("field", F.col("number").cast("long").alias("number")).where("field is not null and number is not null")
     sizes = keys.groupBy("field").agg(F.count_distinct("number").alias("n"))
-    joint = joint_counts(records)
+    joint = materialise(joint_counts(records), "p3-joint")
     terms = joint.groupBy("field", "term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("df"))
     by_record = joint.groupBy("field", "number").agg(F.sum("tf").alias("size"))
     totals = by_record.groupBy("field").agg(F.sum("size").alias("tokens"), F.sum(F.pow("size", F.lit(smoothing))).alias("context")).join(sizes, "field")
-    # the window keeps the rows where the joint counts put them: (number) is part of their partitioning
     size = F.sum("tf").over(Window.partitionBy("field", "number"))
-    all_ = joint.withColumn("size", size).join(terms, ["field", "term"]).join(F.broadcast(totals), "field")  # one row for each field
+    # the window comes last, so that a ranking of each record's terms needs no further shuffle
+    all_ = joint.join(terms, ["field", "term"]).withColumn("size", size).join(F.broadcast(totals), "field")  # one row for each field
     ppmi = F.greatest(F.lit(0.0), F.log(F.col("tf") * F.col("context") / (F.col("occurrences") * F.pow("size", F.lit(smoothing)))))
     return all_.select("field", "number", "term", "tf", "df", ppmi.alias("ppmi"), tf_icf("tf", "df", "n").alias("tf_icf"))
 
@@ -51,5 +53,5 @@ def tf_icf(tf: str, df: str, n: str) -> Column:
 def most_distinctive(records: DataFrame, least_records: int = 2, within: float = 1e-9, by: str = "tf_icf") -> DataFrame:
     """Of each record the terms with the highest score, all that tie within `within`, among the terms of at least `least_records` records."""
     shared = association(records).where(F.col("df") >= least_records)
-    top = shared.groupBy("field", "number").agg(F.max(by).alias("top"))
-    return shared.join(top, ["field", "number"]).where(F.col(by) >= F.col("top") - within).drop("top")
+    top = F.max(by).over(Window.partitionBy("field", "number"))
+    return shared.withColumn("top", top).where(F.col(by) >= F.col("top") - within).drop("top")
