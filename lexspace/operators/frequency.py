@@ -27,7 +27,9 @@ def homograph_frequency(corpus: DataFrame) -> DataFrame:
 def _first(corpus: DataFrame) -> DataFrame:
     # repeated deliveries of a node are equal, so the first word needs no deduplication
     known = corpus.where("node is not null and lex is not null and lex0 is not null and freq_lex is not null")
-    return known.groupBy("lex").agg(F.min(F.struct("node", "lex0", "freq_lex")).alias("x"))
+    # the distinct statements of each lexeme are few, so the hash aggregate leaves next to nothing to sort by the first node
+    stated = known.groupBy("lex", "lex0", "freq_lex").agg(F.min("node").alias("node"))
+    return stated.groupBy("lex").agg(F.min(F.struct("node", "lex0", "freq_lex")).alias("x"))
 
 
 def surface_frequency(corpus: DataFrame, tier: str) -> DataFrame:

@@ -13,7 +13,7 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
     Places are counted within prefixes, and only the prefixes' sizes are added up in one task, so no task sorts all values.
     """
-    values = tokens.select("value").distinct().withColumn("p", F.substring("value", 1, PREFIX))
+    values = tokens.select("value").distinct().withColumn("p", F.substring("value", 1, PREFIX)).where("p is not null")  # as the join below asks: so both uses share one shuffle
     sizes = values.groupBy("p").agg(F.count("*").alias("m"))
     everything = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = sizes.select("p", (F.sum("m").over(Window.orderBy("p")) - F.col("m")).alias("start"), F.sum("m").over(everything).alias("size"))

@@ -1 +1 @@
-"""Part of the feature engine."""
+"""Incremental materialisation with Structured Streaming."""
