@@ -40,6 +40,7 @@ from lexspace.storage import materialise, ship_package
 END = "\x1f"
 GROUP_SUFFIXES = 50_000
 CHUNK = 1000
+HELD_ROWS = 1_000_000
 
 
 def char_body(text: Column) -> Column:
@@ -159,28 +160,33 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
     parts = keyed.repartition(F.col("field"), F.col("prefix"), F.col("ci"), F.col("cj")).sortWithinPartitions("field", "ci", "cj", "right", "number", "pos")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["number_a", "number_b"] if pairs else ["number", "start", "stop"]
         node: list[tuple] = []
-        key, out = None, set()
+        key, held = None, {field: [np.zeros((0, len(columns)), np.int64)] for field in runs}
 
-        def close() -> None:
+        def close() -> Iterator[pd.DataFrame]:
             if len(node) > 1:
                 field, ci, cj = key
                 i, j, left, right = _node(node, runs[field][1], (ci, cj))
+                number, pos = np.array([r[0] for r in node]), np.array([r[1] for r in node])
                 if pairs:
-                    number = np.array([r[0] for r in node])
-                    ends = np.unique(np.sort(np.stack([number[i], number[j]], axis=1), axis=1), axis=0)
-                    out.update((field, a, b) for a, b in ends.tolist())
+                    new = np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])], axis=1)
                 else:
                     most = np.zeros((2, len(node)), np.int64)
                     for x in (i, j):
                         np.maximum.at(most[0], x, left)
                         np.maximum.at(most[1], x, right)
-                    out.update((field, node[x][0], node[x][1] - int(most[0, x]), node[x][1] + int(most[1, x])) for x in np.flatnonzero(most.any(axis=0)).tolist())
+                    x = np.flatnonzero(most.any(axis=0))
+                    new = np.stack([number[x], pos[x] - most[0, x], pos[x] + most[1, x]], axis=1)
+                held[field].append(new)
+                if sum(map(len, held[field])) > HELD_ROWS:
+                    yield flush(field)
             node.clear()
 
-        def flush() -> pd.DataFrame:
-            frame = pd.DataFrame(sorted(out), columns=["field", "number_a", "number_b"] if pairs else ["field", "number", "start", "stop"])
-            out.clear()
+        def flush(field: str) -> pd.DataFrame:
+            frame = pd.DataFrame(np.concatenate(held[field]), columns=columns).drop_duplicates()
+            held[field] = held[field][:1]
+            frame.insert(0, "field", field)
             return frame
 
         for f in frames:
@@ -188,13 +194,12 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
                 unit, run = runs[field]
                 row = (number, pos, at, _split(left, unit), _split(right, unit))
                 if key != (field, ci, cj) or not node or _common(node[-1][4], row[4], run) < run // 2:
-                    close()
+                    yield from close()
                     key = (field, ci, cj)
                 node.append(row)
-            if len(out) > 50_000:
-                yield flush()
-        close()
-        yield flush()
+        yield from close()
+        for field in runs:
+            yield flush(field)
 
     if pairs:
         found = parts.mapInPandas(walk, "field string, number_a long, number_b long").distinct()
