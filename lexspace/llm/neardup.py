@@ -28,7 +28,6 @@ equal bags count once; ties don't arise; an empty table gives no pairs; other co
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,18 +51,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokens_of(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """The sorted tokens (hash of word and occurrence) of a bag."""
-    seen: dict[str, int] = defaultdict(int)
-    base, turn = np.empty(len(words), np.uint64), np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        base[i], turn[i] = known[w], seen[w]
-        seen[w] += 1
-    out = _mix(base + turn * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    out.sort()
-    return out
+class _Hashes(dict):
+    """Word -> hash, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def tokens_of(bags_: list[list[str]], known: _Hashes) -> list[np.ndarray]:
+    """Of each bag the sorted tokens (hash of word and occurrence)."""
+    sizes = np.fromiter(map(len, bags_), np.int64, len(bags_))
+    word = np.fromiter((known[w] for b in bags_ for w in b), np.uint64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(bags_)), sizes)
+    order = np.lexsort((word, owner))
+    word = word[order]
+    new = np.r_[True, (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])] if len(word) else np.zeros(0, bool)
+    turn = np.arange(len(word)) - np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
+    token = _mix(word + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return np.split(token[np.lexsort((token, owner))], np.cumsum(sizes)[:-1])
 
 
 class Digests:
@@ -73,37 +79,43 @@ class Digests:
         self.counts, (self.num, self.den) = counts, least
         self.ratio = math.log(self.den / self.num)
 
-    def size_class(self, n: int) -> int:
-        return int(math.log(n) / self.ratio + 1e-9)
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        return (np.log(n) / self.ratio + 1e-9).astype(np.int64)
 
-    def upper(self, c: int) -> float:
-        return math.exp(self.ratio * (c + 1))
+    def upper(self, c: np.ndarray) -> np.ndarray:
+        return np.exp(self.ratio * (c + 1))
 
-    def most_different(self, a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
+    def most_different(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """D: tokens in which two bags of these sizes that reach the threshold differ at most."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-    def bits(self, tokens: np.ndarray, c: int) -> bytes:
-        m = 64 * math.ceil(1.3 * self.upper(c) / 64)
-        x = np.bincount((_mix(tokens.view(np.uint64) ^ np.uint64(0xA5A5A5A5)) % np.uint64(m)).astype(np.int64), minlength=m) & 1
-        return np.packbits(x.astype(np.uint8)).tobytes()
-
-    def postings(self, tokens: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(content hash, rank by rarity, most records that may have it) of the posted positions in class c."""
-        t = tokens.view(np.uint64)
-        places = np.uint64(1 << 32) if self.upper(c) < SMALL else np.uint64(2 * math.ceil(self.upper(c)))
-        place = _mix(t + np.uint64(c)) % places
-        order = np.argsort(place, kind="stable")
-        t, place = t[order], place[order]
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        content = _mix(np.add.reduceat(_mix(t), first) + place[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
+    def bits(self, t: np.ndarray, owner: np.ndarray, c: np.ndarray) -> pa.Array:
+        """The second digest of each bag: the parity of the tokens on each bit. t: all tokens, owner: their bags, c: the bags' classes."""
+        m = 64 * np.ceil(1.3 * self.upper(c) / 64).astype(np.int64)
+        start = np.cumsum(m) - m
+        at = start[owner] + (_mix(t ^ np.uint64(0xA5A5A5A5)) % m[owner].astype(np.uint64)).astype(np.int64)
+        packed = np.packbits((np.bincount(at, minlength=int(m.sum())) & 1).astype(np.uint8))
+        offsets = (np.r_[start, m.sum()] // 8).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+
+    def postings(self, t: np.ndarray, owner: np.ndarray, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(bag, content hash, rank by rarity, most records that may have it) of the posted positions in each bag's class c."""
+        upper = self.upper(c)
+        places = np.where(upper < SMALL, 1 << 32, 2 * np.ceil(upper).astype(np.int64)).astype(np.uint64)
+        mine = c.astype(np.uint64)
+        place = _mix(t + mine[owner]) % places[owner]
+        order = np.lexsort((place, owner))
+        t, place, owner = t[order], place[order], owner[order]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
+        bag = owner[first]
+        content = _mix(np.add.reduceat(_mix(t), first) + place[first] * np.uint64(0x9E3779B97F4A7C15) + mine[bag])
         rare = np.minimum.reduceat(self.counts[(t % np.uint64(BINS)).astype(np.int64)], first)
         width = np.diff(np.r_[first, len(t)])
-        n = len(tokens)
-        keep = np.lexsort((content, -width, rare))[: self.most_different(n, n * self.den // self.num) + 1]
-        rank = np.arange(len(keep))
-        shared = rare[keep] > 1
-        return content[keep][shared].view(np.int64), rank[shared], rare[keep][shared]
+        order = np.lexsort((content, -width, rare, bag))
+        bag, content, rare = bag[order], content[order], rare[order]
+        rank = np.arange(len(bag)) - np.searchsorted(bag, bag)
+        keep = (rank <= self.most_different(n, n * self.den // self.num)[bag]) & (rare > 1)
+        return bag[keep], content[keep].view(np.int64), rank[keep], rare[keep]
 
 
 def bags(records: DataFrame, unit_of: dict[str, str]) -> DataFrame:
@@ -111,11 +123,11 @@ def bags(records: DataFrame, unit_of: dict[str, str]) -> DataFrame:
     from lexspace.llm.spans import END
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = _Hashes()
         for f in frames:
             if len(known) > 1_000_000:
                 known.clear()
-            got = [tokens_of(body.split() if unit_of[field] == "space" else body.split(END)[:-1], known) for field, body in zip(f["field"], f["body"], strict=True)]
+            got = tokens_of([body.split() if unit_of[field] == "space" else body.split(END)[:-1] for field, body in zip(f["field"], f["body"], strict=True)], known)
             yield pd.DataFrame({"field": f["field"], "number": f["number"], "n": [len(t) for t in got], "bag": [xxhash.xxh3_128_digest(t.tobytes()) for t in got], "tokens": got})
 
     clean = records.select("field", F.col("number").cast("long").alias("number"), "body").where("field is not null and number is not null and body is not null")
@@ -192,40 +204,28 @@ def similar_pairs(records: DataFrame, unit_of: dict[str, str], least: tuple[int,
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
-                out: list[list] = [[] for _ in range(8)]
-                rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True)
-                take, bits = [], []
-                for at, (field, number, tokens) in enumerate(rows):
-                    tokens = tokens.values.to_numpy()
-                    salt = np.int64(xxhash.xxh3_64_intdigest(field) >> 1)
-                    own = d.size_class(len(tokens))
-                    for c in (own, own + 1):
-                        key, rank, most = d.postings(tokens, c)
-                        key = key ^ salt
-                        parts = np.where(most > hot, -(-most // chunk), 1)
-                        mine = (xxhash.xxh3_64_intdigest(number.to_bytes(8, "little", signed=True)) >> 34) % parts
-                        if (parts > 1).any():  # a posting for each pair of chunks
-                            rows_ = np.repeat(np.arange(len(key)), parts)
-                            other = np.arange(len(rows_)) - np.repeat(np.cumsum(parts) - parts, parts)
-                            first, second = np.minimum(mine[rows_], other), np.maximum(mine[rows_], other)
-                            salted = _mix(key[rows_].view(np.uint64) + first.astype(np.uint64) * np.uint64(1_000_003) + second.astype(np.uint64)).view(np.int64)
-                            key = np.where(parts[rows_] > 1, salted, key[rows_])
-                            rank, mine, cross = rank[rows_], mine[rows_], first != second
-                        else:
-                            cross = np.zeros(len(key), bool)
-                        for column, values in zip(out, (key, rank, np.full(len(key), len(tokens)), np.full(len(key), c), np.full(len(key), c == own), mine, cross, np.full(len(key), number)), strict=True):
-                            column.append(values)
-                        take.append(np.full(len(key), at))
-                        bits.append((d.bits(tokens, c), len(key)))
-                if not take:
-                    continue
-                key, rank, n, c, own_, mine, cross, number_ = (np.concatenate(x) for x in out)
-                words = [w for w, _ in bits]
-                each = pa.array(words, pa.binary()).take(pa.array(np.repeat(np.arange(len(words)), [k for _, k in bits])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), b.column(0).take(pa.array(np.concatenate(take))), pa.array(number_, pa.int64()), pa.array(n, pa.int32()), pa.array(rank, pa.int32()), pa.array(c, pa.int32()), pa.array(own_), pa.array(mine, pa.int32()), pa.array(cross), each],
-                    names=["key", "field", "number", "n", "rank", "c", "own", "chunk", "cross", "bits"],
-                )
+                number, n = b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
+                t = b.column(3).flatten().to_numpy().view(np.uint64)
+                owner = np.repeat(np.arange(len(n)), n)
+                salt = np.array([xxhash.xxh3_64_intdigest(f) >> 1 for f in b.column(0).to_pylist()], np.int64)
+                own = d.size_class(n)
+                for c in (own, own + 1):
+                    bag, key, rank, most = d.postings(t, owner, n, c)
+                    key = key ^ salt[bag]
+                    parts = np.where(most > hot, -(-most // chunk), 1)
+                    mine = (_mix(number[bag].view(np.uint64)) >> np.uint64(34)).astype(np.int64) % parts
+                    cross = np.zeros(len(key), bool)
+                    if (parts > 1).any():  # a posting for each pair of chunks
+                        at = np.repeat(np.arange(len(key)), parts)
+                        other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                        first, second = np.minimum(mine[at], other), np.maximum(mine[at], other)
+                        salted = _mix(key[at].view(np.uint64) + first.astype(np.uint64) * np.uint64(1_000_003) + second.astype(np.uint64)).view(np.int64)
+                        bag, key, rank, mine, cross = bag[at], np.where(parts[at] > 1, salted, key[at]), rank[at], mine[at], first != second
+                    took = pa.array(bag)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), b.column(0).take(took), b.column(1).take(took), b.column(2).take(took), pa.array(rank, pa.int32()), pa.array(c[bag], pa.int32()), pa.array((c == own)[bag]), pa.array(mine, pa.int32()), pa.array(cross), d.bits(t, owner, c).take(took)],
+                        names=["key", "field", "number", "n", "rank", "c", "own", "chunk", "cross", "bits"],
+                    )
 
     posted = reps.select("field", "number", "n", "tokens").mapInArrow(post, schema)
     met = posted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, shared.value), "field string, a long, b long")
