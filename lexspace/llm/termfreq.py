@@ -25,8 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ ROWS_IN_MEMORY = 2_000_000
 FANOUT_BITS = 4
 RARE_RECORDS, COMMON_SHARE = 2, 0.4
 MEMORY = "400MB"
-MAP_TERMS = 300_000
+MAP_TERMS, MAP_RECORDS = 300_000, 2000
 _SCHEMA = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64()), ("bits", pa.uint64())])
 COUNTED = "field string, term string, occurrences long, records long"
 
@@ -48,32 +48,31 @@ def distinct_records(records: DataFrame) -> DataFrame:
     return clean.groupBy("field", "number").agg(F.min("words").alias("words"))
 
 
-def _bits(field: str, term: str) -> int:
-    return xxhash.xxh3_64_intdigest(field + "\0" + term)
-
-
 def map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of records (field, words): sums for each term, emitted whenever `MAP_TERMS` terms are held."""
-    held: dict[tuple[str, str], list[int]] = {}
+    """Of records (field, words): sums for each term, emitted whenever `MAP_TERMS` are held."""
+    held: list[pa.Table] = []
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["field", "term"]).aggregate([("occurrences", "sum"), ("records", "sum")]).rename_columns({"occurrences_sum": "occurrences", "records_sum": "records"})
 
-    def emit() -> pa.RecordBatch:
-        keys, sums = list(held), list(held.values())
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([_bits(*k) >> 1 for k in keys], pa.int64())], names=["field", "term", "occurrences", "records", "radix"])
+    def emit() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from summed(held).select(["field", "term", "occurrences", "records"]).combine_chunks().to_batches()
         held.clear()
-        return out
 
     for b in batches:
-        for field, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for term, n in Counter(w for w in words or () if w).items():
-                s = held.get((field, term))
-                if s is None:
-                    held[field, term] = [n, 1]
-                else:
-                    s[0] += n
-                    s[1] += 1
-            if len(held) >= MAP_TERMS:
-                yield emit()
-    yield emit()
+        for lo in range(0, b.num_rows, MAP_RECORDS):
+            words = b.column(1).slice(lo, MAP_RECORDS)
+            term, record = pc.list_flatten(words), pc.list_parent_indices(words)
+            field = b.column(0).slice(lo, MAP_RECORDS).take(record)
+            kept = pa.table({"field": field, "term": term, "record": record}).filter(pc.fill_null(pc.not_equal(term, ""), False))
+            once = kept.group_by(["field", "term", "record"]).aggregate([([], "count_all")])
+            held.append(once.group_by(["field", "term"]).aggregate([("count_all", "sum"), ("count_all", "count")]).rename_columns({"count_all_sum": "occurrences", "count_all_count": "records"}).select(["field", "term", "occurrences", "records"]))
+            if sum(t.num_rows for t in held) >= MAP_TERMS:
+                held[:] = [summed(held)]
+                if held[0].num_rows >= MAP_TERMS // 2:
+                    yield from emit()
+    yield from emit()
 
 
 class RadixSpill:
@@ -129,21 +128,16 @@ def term_counts(records: DataFrame, rows_in_memory: int = ROWS_IN_MEMORY, memory
         os.makedirs(f"{root}/lexspace/radix", exist_ok=True)
         folder = tempfile.mkdtemp(prefix=f"{TaskContext.get().partitionId()}-", dir=f"{root}/lexspace/radix")
         try:
-            tables = (pa.Table.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(_spread(b.column(4).to_numpy()))], schema=_SCHEMA) for b in batches if b.num_rows)
+            tables = (pa.Table.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(b.column(4).to_numpy().view(np.uint64))], schema=_SCHEMA) for b in batches if b.num_rows)
             for b in RadixSpill(folder, rows_in_memory, memory).aggregated(tables):
                 yield b.cast(pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]))
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    mapped = records.select("field", "words").mapInArrow(map_counts, COUNTED + ", radix long")
+    mapped = records.select("field", "words").mapInArrow(map_counts, COUNTED).withColumn("radix", F.xxhash64("field", "term"))
     return mapped.repartition("radix").mapInArrow(reduce, COUNTED)
 
 
-def _spread(radix: np.ndarray) -> np.ndarray:
-    """The bits that split a task's rows; the radix has the hash but for its last bit."""
-    return radix.astype(np.uint64) << np.uint64(1)
-
-
 def marked_terms(records: DataFrame, rare_records: int = RARE_RECORDS, common_share: float = COMMON_SHARE, **options) -> DataFrame:
     """(field, term, occurrences, records, mark) of records (field, number, words)."""
     own = distinct_records(records)
