@@ -249,10 +249,9 @@ def _with_prefix(suffixes: DataFrame, runs: dict[str, tuple[str, int]], most: in
         here = rest.withColumn("prefix", prefix)
         if size >= longest:
             break
-        large = here.groupBy("field", "prefix").count().where(F.col("count") > most).select("field", "prefix")
-        if not (found := large.collect()):  # fewer than suffixes / most rows
+        large = materialise(here.groupBy("field", "prefix").count().where(F.col("count") > most).select("field", "prefix"), "p1-prefixes")
+        if large.isEmpty():
             break
-        large = suffixes.sparkSession.createDataFrame(found, large.schema)
         done.append(here.join(large, ["field", "prefix"], "left_anti"))
         rest = here.join(large, ["field", "prefix"], "left_semi").drop("prefix")
         size *= 2
