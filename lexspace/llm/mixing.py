@@ -204,12 +204,12 @@ def mixture(
     weights = weights.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     given = {r.source: (r.target_share, r.max_repeats) for r in weights.orderBy(F.col("target_share").asc_nulls_first()).collect()}
     blocks = token_blocks(documents, weights, vocabulary, block_tokens)
-    parts = blocks.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()  # sources x tasks rows
+    parts = blocks.groupBy("source", "part").agg(F.count("*").alias("n")).toPandas()  # sources x tasks rows of a few bytes
     number: dict[str, int] = {}
-    start: dict[tuple[str, int], int] = {}
-    for r in sorted(parts, key=lambda r: (r.source, r.part < 0, r.part)):
-        start[r.source, r.part] = number.get(r.source, 0)
-        number[r.source] = number.get(r.source, 0) + r.n
+    start: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for s, own in parts.sort_values(["source", "part"]).groupby("source"):
+        n = own["n"].to_numpy(np.int64)
+        start[s], number[s] = (own["part"].to_numpy(), np.cumsum(n) - n), int(n.sum())
     quota = quotas(number, given, total_tokens and max(1, total_tokens // block_tokens))
     ends = {s: np.cumsum(c) for s, c in shard_counts(quota, shards, seed).items()}
     keys = {s: i for i, s in enumerate(sorted(number))}
@@ -219,11 +219,11 @@ def mixture(
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, start, quota, ends, keys = plan.value
         for b in batches:
-            source, part = b.column(0).to_pylist(), b.column(4).to_pylist()
-            block = np.array([start[at] for at in zip(source, part, strict=True)], np.int64) + b.column(5).to_numpy()
-            names, rows = np.array(source, object), []
-            for s in set(source):
+            block, part = b.column(5).to_numpy().astype(np.int64), b.column(4).to_numpy()
+            names, rows = np.array(b.column(0).to_pylist(), object), []
+            for s in set(names.tolist()):
                 own = np.flatnonzero(names == s)
+                block[own] += start[s][1][np.searchsorted(start[s][0], part[own])]
                 n, c = number[s], quota.get(s, 0)
                 for e in range(-(-c // n)):
                     slot = permuted(block[own], n, (seed * 1_000_003 + keys[s]) * 1009 + e, inverse=True) + e * n
