@@ -33,26 +33,27 @@ def prepare(nested: DataFrame, unit: str, corpus: DataFrame | None = None, stric
     return Prepared(segments(nested), vectors.term_frequency(words, entries), entries)
 
 
-def _broadcast(by_group: DataFrame, p: Prepared) -> DataFrame:
-    return position.to_segments(by_group, p.segments)
+#: The constructions of whole groups before they go to each segment: name -> builder of (group_id, idx, val).
+GROUP_CONSTRUCTIONS: dict[str, Callable] = {
+    **{f"icf_position{k}_psalm": lambda p, order=None, k=k: position.group_pyramid(p.tf, k, order) for k in (2, 4, 8)},
+    **{f"icf_spacing{k}_psalm": lambda p, order=None, k=k: recurrence.group_spacing(p.tf, p.segments, k, order) for k in (2, 4, 8)},
+    "icf_position_mean_psalm": lambda p, order=None: position.group_zoning(p.tf, order),
+}
 
 
-def _pyramid(k: int) -> Callable:
-    return lambda p, order=None: position.pyramid(p.tf, k, order).select("node_id", "idx", "val")
+def _of_group(name: str) -> Callable:
+    """A group's vector for each of its segments."""
+    return lambda p, order=None: position.to_segments(GROUP_CONSTRUCTIONS[name](p, order), p.segments)
 
 
-def _group_pyramid(k: int) -> Callable:
-    return lambda p, order=None: _broadcast(position.group_pyramid(p.tf, k, order), p)
+def _pyramid(k: int) -> Callable:
+    return lambda p, order=None: position.pyramid(p.tf, k, order).select("node_id", "idx", "val")
 
 
 def _spacing(k: int) -> Callable:
     return lambda p, order=None: recurrence.spacing(p.tf, p.segments, k, order)
 
 
-def _group_spacing(k: int) -> Callable:
-    return lambda p, order=None: _broadcast(recurrence.group_spacing(p.tf, p.segments, k, order), p)
-
-
 #: name -> (long-form builder over Prepared and an optional order, dimension of a vocabulary of V). The names are fixed values: they are dataset names.
 CONSTRUCTIONS: dict[str, tuple[Callable, Callable[[int], int]]] = {
     "binary": (lambda p, order=None: vectors.binary(p.tf), lambda v: v),
@@ -63,9 +64,9 @@ CONSTRUCTIONS: dict[str, tuple[Callable, Callable[[int], int]]] = {
     **{f"icf_position{k}": (_pyramid(k), lambda v, k=k: k * v) for k in (2, 4, 8)},
     **{f"icf_spacing{k}": (_spacing(k), lambda v, k=k: k) for k in (2, 4, 8)},
     "icf_position_mean": (lambda p, order=None: position.zoning(p.tf, order), lambda v: 2 * v),
-    **{f"icf_position{k}_psalm": (_group_pyramid(k), lambda v, k=k: k * v) for k in (2, 4, 8)},
-    **{f"icf_spacing{k}_psalm": (_group_spacing(k), lambda v, k=k: k) for k in (2, 4, 8)},
-    "icf_position_mean_psalm": (lambda p, order=None: _broadcast(position.group_zoning(p.tf, order), p), lambda v: 2 * v),
+    **{f"icf_position{k}_psalm": (_of_group(f"icf_position{k}_psalm"), lambda v, k=k: k * v) for k in (2, 4, 8)},
+    **{f"icf_spacing{k}_psalm": (_of_group(f"icf_spacing{k}_psalm"), lambda v, k=k: k) for k in (2, 4, 8)},
+    "icf_position_mean_psalm": (_of_group("icf_position_mean_psalm"), lambda v: 2 * v),
 }
 
 

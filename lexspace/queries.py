@@ -15,7 +15,7 @@ from lexspace.operators import position, recurrence
 from lexspace.operators.shuffle import shuffled_order
 from lexspace.operators.vocabulary import vocabulary
 from lexspace.plans.catalog import not_written
-from lexspace.plans.constructions import CONSTRUCTIONS, Prepared, build, prepare
+from lexspace.plans.constructions import CONSTRUCTIONS, GROUP_CONSTRUCTIONS, Prepared, build, prepare
 from lexspace.plans.encode import batch_numbers, encode, node_vectors, spans
 from lexspace.plans.pipeline import text_segments
 from lexspace.plans.registry import model_variations
@@ -111,7 +111,17 @@ def _lag_sql(k: int) -> str:
     return f"cast(least(floor((b.seg_idx - a.seg_idx) * CAST({k} AS DOUBLE) / (a.n - 1)), {k - 1}) as bigint)"
 
 
+def _by_group(unit: str, name: str) -> bool:
+    """Vectors of whole groups are repeated for each segment only for lexemes; for the other units the query has one row for each group and entry."""
+    return name in GROUP_CONSTRUCTIONS and unit != "lexeme"
+
+
 def construction_sql(name: str, unit: str) -> str:
+    sql = _construction_sql(name, unit)
+    return sql.replace("select node_id, cast(idx", "select group_id, cast(idx").replace("from seg join h using (group_id)", "from h") if _by_group(unit, name) else sql
+
+
+def _construction_sql(name: str, unit: str) -> str:
     tf = _tf_sql(unit)
     simple = {"binary": "CAST(1 AS DOUBLE)", "count": "cast(tf as double)", "log_count": "ln(1 + tf)", "icf": "w", "tf_icf": "ln(1 + tf) * w"}
     if name in simple:
@@ -140,7 +150,9 @@ from seg a join seg b on a.group_id = b.group_id and a.seg_idx < b.seg_idx left
 
 def _construction(unit: str, name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return build(name, prepared(spark, sf, unit)).select("node_id", "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+        p = prepared(spark, sf, unit)
+        long = GROUP_CONSTRUCTIONS[name](p) if _by_group(unit, name) else build(name, p)
+        return long.select(long.columns[0], "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
 
     return run
 
