@@ -10,7 +10,7 @@ the number of collisions is binomial with p = 0.683, so with 32 projections and
 than 3 in 1000 are missed, and fewer the nearer they are. Beyond the last radius the window covers all
 rows: they are all verified, so the result is exact for queries without near neighbours.
 
-Queries are sent to the tasks in passes of at most `queries_per_pass`, whatever their number; every block
+Queries are sent to the tasks in passes of at most `queries_per_pass`, whatever their number; every task
 keeps its own k best of different keys, so no row of the collection is shuffled, only found neighbours.
 
 Rows with a null key or an unusable vector are no neighbours and no queries; keys written repeatedly count
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lexspace.storage import ship_package
 
 PROJECTIONS, THRESHOLD = 32, 14
-RADII = (0.2, 0.32, 0.5)
+RADII = (0.2, 0.32)
 QUERIES_PER_PASS = 8192
 BLOCK_ROWS = 16384
 SEED = 5
@@ -62,10 +62,10 @@ class Queries:
         self.directions = rng.standard_normal((vectors.shape[1], projections)).astype(np.float32)
         self.projected = vectors @ self.directions
 
-    def in_block(self, keys: np.ndarray, rows: np.ndarray, radius: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, key, cosine) of each query's k best different keys in a block."""
+    def in_block(self, keys: np.ndarray, rows: np.ndarray, radius: float | None, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, key, cosine) of each query's k best different keys in a block, as far as they reach the query's bound."""
         if radius is None:
-            return self._all(keys, rows)
+            return self._all(keys, rows, bound)
         projected = (rows @ self.directions).T.copy()
         order = projected.argsort(axis=1).astype(np.int32)
         lo, hi = [], []
@@ -84,32 +84,40 @@ class Queries:
                 at.append(near)
                 held += len(near)
             if held > 500_000:
-                got.append(self._verified(np.concatenate(number), np.concatenate(at), keys, rows))
+                got.append(self._verified(np.concatenate(number), np.concatenate(at), keys, rows, bound))
                 number, at, held = [], [], 0
         if number:
-            got.append(self._verified(np.concatenate(number), np.concatenate(at), keys, rows))
+            got.append(self._verified(np.concatenate(number), np.concatenate(at), keys, rows, bound))
         return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
-    def _verified(self, number: np.ndarray, at: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _verified(self, number: np.ndarray, at: np.ndarray, keys: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cosine = np.empty(len(at), np.float32)
         for s in range(0, len(at), 1 << 16):
             part = slice(s, s + (1 << 16))
             cosine[part] = np.einsum("ij,ij->i", self.vectors[number[part]], rows[at[part]])
-        return self._best(number, keys[at], cosine)
+        near = cosine >= bound[number]
+        return self._best(number[near], keys[at[near]], cosine[near])
 
-    def _all(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _all(self, keys: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got = []
         for s in range(0, len(self.keys), 256):
             cosine = self.vectors[s : s + 256] @ rows.T
+            least = bound[s : s + 256].copy()
+            open_ = np.flatnonzero(least < -1)
             want = min(self.k + 8, len(rows))
-            while True:  # more places where keys are repeated
-                at = np.argpartition(cosine, len(rows) - want, axis=1)[:, -want:]
-                number = np.repeat(np.arange(len(at)), want)
-                best = self._best(number + s, keys[at.ravel()], cosine[number, at.ravel()])
-                if want == len(rows) or np.bincount(best[0] - s, minlength=len(at)).min() >= self.k:
-                    break
-                want = min(4 * want, len(rows))
-            got.append(best)
+            if len(open_):  # nothing is known yet: at least the k best different keys, more places where keys are repeated
+                part = cosine[open_]
+                while True:
+                    at = np.argpartition(part, len(rows) - want, axis=1)[:, -want:]
+                    number = np.repeat(np.arange(len(at)), want)
+                    best = self._best(open_[number] + s, keys[at.ravel()], part[number, at.ravel()])
+                    if want == len(rows) or np.bincount(best[0] - s, minlength=len(cosine))[open_].min() >= self.k:
+                        break
+                    want = min(4 * want, len(rows))
+                got.append(best)
+                least[open_] = 2
+            number, at = np.nonzero(cosine >= least[:, None])
+            got.append(self._best(number + s, keys[at], cosine[number, at]))
         return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
     def _best(self, number: np.ndarray, keys: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,6 +134,25 @@ class Queries:
         return number[top], keys[top], cosine[top]
 
 
+class Best:
+    """The k best keys of each query among the blocks of a task so far."""
+
+    def __init__(self, queries: Queries):
+        self.queries = queries
+        self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        #: the cosine of the k-th best key; less than any cosine while there are fewer
+        self.bound = np.full(len(queries.keys), -2, np.float32)
+
+    def add(self, *found: np.ndarray) -> None:
+        if not len(found[0]):
+            return
+        number, keys, cosine = self.queries._best(*(np.concatenate(x) for x in zip(self.rows, found, strict=True)))
+        self.rows = number, keys, cosine
+        last = np.searchsorted(number, np.arange(len(self.bound)), side="right") - 1
+        full = np.bincount(number, minlength=len(self.bound)) == self.queries.k
+        self.bound[full] = cosine[last[full]]
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -154,16 +181,23 @@ def nearest(
         if not len(got):
             continue
         left = pd.DataFrame({"key": got["key"], "vector": list(np.stack(got["vector"]).astype(np.float64))})
+        far = left.iloc[:0]
         for radius in (*radii, None):
+            if radius is None:
+                left = pd.concat([left, far])
+            if not len(left):
+                continue
             x = np.stack(left["vector"])
             x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
             block = spark.sparkContext.broadcast(Queries(left["key"].to_numpy(), x, k, projections, threshold))
 
             def count(batches: Iterator[pa.RecordBatch], block=block, radius=radius) -> Iterator[pa.RecordBatch]:
                 q = block.value
+                best = Best(q)
                 for keys, x in _blocks(batches, dim):
-                    number, other, cosine = q.in_block(keys, x, radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(q.keys[number]), pa.array(other), pa.array(cosine)], names=["query", "neighbour", "cosine"])
+                    best.add(*q.in_block(keys, x, radius, best.bound))
+                number, other, cosine = best.rows
+                yield pa.RecordBatch.from_arrays([pa.array(q.keys[number]), pa.array(other), pa.array(cosine)], names=["query", "neighbour", "cosine"])
 
             part = _k_best(rows.mapInArrow(count, schema), k).toPandas()  # at most k rows of each query of this pass
             if radius is None:
@@ -173,12 +207,12 @@ def nearest(
                 ended = set(within[within >= k].index)
                 done = part[part["query"].isin(ended)]
                 left = left[~left["key"].isin(ended)]
+                near = left["key"].isin(within.index)
+                left, far = left[near], pd.concat([far, left[~near]])  # without any neighbour so near, the next radius won't do either
             if len(done):
                 frame = spark.createDataFrame(done, "query long, neighbour long, cosine float, rank int")
                 found = frame if found is None else found.unionByName(frame)
             block.unpersist()
-            if not len(left):
-                break
     return found if found is not None else spark.createDataFrame([], "query long, neighbour long, cosine float, rank int")
 
 

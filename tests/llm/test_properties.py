@@ -78,6 +78,6 @@ def test_collisions_find_what_is_near():
     near = x[:200] + 0.2 * rng.standard_normal((200, 64)).astype(np.float32) / 8
     near /= np.linalg.norm(near, axis=1, keepdims=True)
     q = collision.Queries(np.arange(10_000, 10_200), near, 1, collision.PROJECTIONS, collision.THRESHOLD)
-    number, key, _ = q.in_block(np.arange(3000), x, 0.2)
+    number, key, _ = q.in_block(np.arange(3000), x, 0.2, np.full(200, -2, np.float32))
     found = dict(zip(number.tolist(), key.tolist(), strict=True))
     assert np.mean([found.get(i) == i for i in range(200)]) > 0.97
