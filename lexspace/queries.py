@@ -112,7 +112,7 @@ def _lag_sql(k: int) -> str:
 
 
 def _by_group(unit: str, name: str) -> bool:
-    """Vectors of whole groups are repeated for each segment only for lexemes; for the other units the query has one row for each group and entry."""
+    """Whether the registered SQL has one row for each group and entry. The queries have each segment's rows for all units, as _construction_sql."""
     return name in GROUP_CONSTRUCTIONS and unit != "lexeme"
 
 
@@ -150,9 +150,7 @@ from seg a join seg b on a.group_id = b.group_id and a.seg_idx < b.seg_idx left
 
 def _construction(unit: str, name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        p = prepared(spark, sf, unit)
-        long = GROUP_CONSTRUCTIONS[name](p) if _by_group(unit, name) else build(name, p)
-        return long.select(long.columns[0], "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+        return build(name, prepared(spark, sf, unit)).select("node_id", "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
 
     return run
 
@@ -323,9 +321,8 @@ def icf_position4_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 h as (select group_id, seed, idx, w as val from z union all select group_id, seed, size + idx, w * (2 * t - 1) from z) select cast(seed as int) as seed, group_id, {_ROUND} from h""")
 def icf_position_mean_psalm_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     p, order, _ = _with_seed(spark, sf)
-    parts = F.split("group_id", ":")
-    long = position.group_zoning(p.tf, order)
-    return long.select(parts[1].cast("int").alias("seed"), parts[0].cast("int").alias("group_id"), "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+    long = p.segments.select("group_id", "seed", "node_id").join(position.group_zoning(p.tf, order), "group_id")
+    return long.select(F.col("seed").cast("int").alias("seed"), "node_id", "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
 
 
 # --- dense vectors ----------------------------------------------------------------------------------------------
