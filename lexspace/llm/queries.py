@@ -13,7 +13,7 @@ from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
 from lexspace.llm.mixing import mixture, reached_shares
 from lexspace.llm.neardup import expanded, groups, similar_pairs
-from lexspace.llm.spans import char_body, shared_spans, token_body
+from lexspace.llm.spans import END, char_body, shared_spans, token_body
 from lexspace.llm.termfreq import marked_terms
 from lexspace.storage import table
 
@@ -120,12 +120,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p1_shared(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each psalm with a shared passage: the symbols that stand elsewhere too."""
-    pieces = shared_spans(_span_records(spark, sf), SPAN_RUNS, pairs=False)
+    """Of each psalm: the symbols that stand elsewhere too, all its symbols, and the share; 0 where nothing is shared."""
+    records = _span_records(spark, sf)
+    pieces = shared_spans(records, SPAN_RUNS, pairs=False)
     before = Window.partitionBy("field", "number").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("reached", "start")))
     by = pieces.withColumn("reached", F.max("stop").over(before)).groupBy("field", F.col("number").cast("int").alias("number"))
-    return by.agg(F.sum(fresh).alias("shared")).withColumnRenamed("field", "field_name")
+    tokens = F.length("body") - F.length(F.replace("body", F.lit(END), F.lit("")))
+    size = F.when(F.col("field").isin([f for f, (unit, _) in SPAN_RUNS.items() if unit == "char"]), F.length("body")).otherwise(tokens)
+    sizes = records.where("number is not null").groupBy("field", "number").agg(F.coalesce(F.max(size), F.lit(0)).cast("long").alias("total"))
+    every = sizes.join(by.agg(F.sum(fresh).alias("shared")), ["field", "number"], "left")
+    shared = F.coalesce("shared", F.lit(0))
+    share = F.when(F.col("total") > 0, shared / F.col("total")).otherwise(F.lit(0.0))
+    return every.select(F.col("field").alias("field_name"), "number", shared.alias("shared"), "total", share.alias("share"))
 
 
 BAG_UNITS = {"unvocalized": "space", "forms": "token"}
