@@ -15,7 +15,7 @@ from lexspace.operators import position, recurrence
 from lexspace.operators.shuffle import shuffled_order
 from lexspace.operators.vocabulary import vocabulary
 from lexspace.plans.catalog import not_written
-from lexspace.plans.constructions import CONSTRUCTIONS, GROUP_CONSTRUCTIONS, Prepared, build, prepare
+from lexspace.plans.constructions import CONSTRUCTIONS, Prepared, build, prepare
 from lexspace.plans.encode import batch_numbers, encode, node_vectors, spans
 from lexspace.plans.pipeline import text_segments
 from lexspace.plans.registry import model_variations
@@ -111,17 +111,7 @@ def _lag_sql(k: int) -> str:
     return f"cast(least(floor((b.seg_idx - a.seg_idx) * CAST({k} AS DOUBLE) / (a.n - 1)), {k - 1}) as bigint)"
 
 
-def _by_group(unit: str, name: str) -> bool:
-    """Whether the registered SQL has one row for each group and entry. The queries have each segment's rows for all units, as _construction_sql."""
-    return name in GROUP_CONSTRUCTIONS and unit != "lexeme"
-
-
 def construction_sql(name: str, unit: str) -> str:
-    sql = _construction_sql(name, unit)
-    return sql.replace("select node_id, cast(idx", "select group_id, cast(idx").replace("from seg join h using (group_id)", "from h") if _by_group(unit, name) else sql
-
-
-def _construction_sql(name: str, unit: str) -> str:
     tf = _tf_sql(unit)
     simple = {"binary": "CAST(1 AS DOUBLE)", "count": "cast(tf as double)", "log_count": "ln(1 + tf)", "icf": "w", "tf_icf": "ln(1 + tf) * w"}
     if name in simple:
@@ -318,7 +308,7 @@ def icf_position4_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{_tf_sql('homograph')}, {_ORDER}, z as (select group_id, seed, idx, size, w, avg((position + CAST(0.5 AS DOUBLE)) / n) as t from tf join ord using (group_id, seg_idx) group by all),
-h as (select group_id, seed, idx, w as val from z union all select group_id, seed, size + idx, w * (2 * t - 1) from z) select cast(seed as int) as seed, group_id, {_ROUND} from h""")
+h as (select group_id, seed, idx, w as val from z union all select group_id, seed, size + idx, w * (2 * t - 1) from z) select cast(seed as int) as seed, node_id, {_ROUND} from seg join h using (group_id)""")
 def icf_position_mean_psalm_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     p, order, _ = _with_seed(spark, sf)
     long = p.segments.select("group_id", "seed", "node_id").join(position.group_zoning(p.tf, order), "group_id")
