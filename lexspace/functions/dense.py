@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspace.storage import ship_package
+
+OUT_VALUES = 1 << 22
+
 
 def densify(features: DataFrame, rows: DataFrame, dim: int, key: str = "node_id") -> DataFrame:
-    """(key, vector array<float>): one vector for each row of `rows`, zeros where features(key, idx, val) has nothing."""
-    entries = features.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", F.col("val").cast("float").alias("val")))).alias("m"))
-    at = F.sequence(F.lit(0), F.lit(dim - 1))
-    zero = F.lit(0).cast("float")
-    full = F.transform(at, lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), zero))
-    return rows.select(key).join(entries, key, "left").select(key, F.when(F.col("m").isNull(), F.transform(at, lambda i: zero)).otherwise(full).alias("vector"))
+    """(key, vector array<float>): one vector for each row of `rows`, zeros where features(key, idx, val) has nothing.
+
+    The entries of a key are few; they are gathered and scattered into zeros batch by batch, `OUT_VALUES` values at a time, whatever `dim`.
+    """
+    ship_package(rows.sparkSession)
+    entries = features.groupBy(key).agg(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.col("val").cast("float").alias("val"))).alias("m"))
+    joined = rows.select(key).join(entries, key, "left").select(key, F.coalesce("m", F.array().cast("array<struct<idx:bigint,val:float>>")).alias("m"))
+    step = max(1, OUT_VALUES // max(dim, 1))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                lists = part.column(1)
+                flat = lists.flatten()
+                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                out = np.zeros((part.num_rows, dim), np.float32)
+                out[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * dim
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[key, "vector"])
+
+    return joined.mapInArrow(scatter, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<float>")
 
 
 def sparsify(vectors: DataFrame, key: str = "node_id", vector: str = "vector") -> DataFrame:

@@ -17,8 +17,3 @@ def strip_marks(text: Column) -> Column:
 def strip_space(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-def joined(words: Column, trailers: Column) -> Column:
-    """Words each followed by its trailer, as one string."""
-    return F.array_join(F.zip_with(words, trailers, lambda w, t: F.concat(F.coalesce(w, F.lit("")), F.coalesce(t, F.lit("")))), "")

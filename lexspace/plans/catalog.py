@@ -1,20 +1,25 @@
 """The dataset catalog: Hive-style leaves of (node_id int, vector array<float>), written once.
 
 A leaf counts as written when it has a success marker, so an interrupted write is done again. Description and version stand in a
-sidecar file of the leaf. Partition columns differ between subtrees, so the reader goes leaf by leaf.
+sidecar file of the leaf. Partition columns differ between subtrees, so the reader goes leaf by leaf. All files are reached through Hadoop's
+file systems, so a root may lie in any storage that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import math
 import re
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lexspace.storage import delete, exists, file_system, write_text
+
 VERSION = "1.0"
 SIDECAR = "_dataset.json"
+FILE_BYTES = 256 << 20
 
 
 def lexical_path(root: str, unit: str, construction: str, text: str | None = None) -> str:
@@ -25,42 +30,53 @@ def semantic_path(root: str, model: str, variation: str) -> str:
     return f"{root.rstrip('/')}/type=semantic/model={model}/text={variation}"
 
 
-def is_written(leaf: str) -> bool:
-    return os.path.exists(f"{leaf}/_SUCCESS")
+def is_written(leaf: str, spark: SparkSession | None = None) -> bool:
+    return exists(spark or SparkSession.getActiveSession(), f"{leaf}/_SUCCESS")
+
+
+def files_of(rows: int, dim: int) -> int:
+    """The files a dataset is written to: one, or as many as keep each within about `FILE_BYTES` of values."""
+    return max(1, math.ceil(rows * dim * 4 / FILE_BYTES))
 
 
 def write_dataset(vectors: DataFrame, leaf: str, description: str, files: int = 1) -> str:
-    """Write (node_id, vector) to a leaf: sorted by node_id, zstd. No rows, or vectors of different length, are an error."""
+    """Write (node_id, vector) to a leaf: sorted by node_id, zstd. No rows, or vectors of different length, are an error, and the leaf is removed.
+
+    The checks are counted while the rows are written, so the vectors are made once and never held.
+    """
+    spark = vectors.sparkSession
     own = vectors.select(F.col("node_id").cast("int").alias("node_id"), F.col("vector").cast("array<float>").alias("vector"))
-    kept = own.persist()
-    try:
-        r = kept.agg(F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi"), F.count("*").alias("n")).first()
-        if not r.n:
-            raise IndexError(f"no vectors for {leaf}")
-        if r.lo != r.hi:
-            raise ValueError(f"vectors of {r.lo} to {r.hi} entries for {leaf}")
-        ordered = kept.coalesce(1) if files == 1 else kept.repartitionByRange(files, "node_id")
-        ordered.sortWithinPartitions("node_id").write.mode("overwrite").option("compression", "zstd").parquet(leaf)
-    finally:
-        kept.unpersist()
-    with open(f"{leaf}/{SIDECAR}", "w") as f:
-        json.dump({"description": description, "version": VERSION, "dimension": r.lo, "rows": r.n}, f)
+    ordered = own.coalesce(1) if files == 1 else own.repartitionByRange(files, "node_id")
+    seen = Observation()
+    checked = ordered.sortWithinPartitions("node_id").observe(seen, F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi"), F.count(F.lit(1)).alias("n"))
+    checked.write.mode("overwrite").option("compression", "zstd").parquet(leaf)
+    r = seen.get
+    if not r["n"]:
+        delete(spark, leaf)
+        raise IndexError(f"no vectors for {leaf}")
+    if r["lo"] != r["hi"]:
+        delete(spark, leaf)
+        raise ValueError(f"vectors of {r['lo']} to {r['hi']} entries for {leaf}")
+    write_text(spark, f"{leaf}/{SIDECAR}", json.dumps({"description": description, "version": VERSION, "dimension": r["lo"], "rows": r["n"]}))
     return leaf
 
 
-def leaves(root: str) -> list[tuple[dict[str, str], str]]:
-    """(partition values, path) of all written leaves."""
+def leaves(root: str, spark: SparkSession | None = None) -> list[tuple[dict[str, str], str]]:
+    """(partition values, path) of all written leaves, in order of path."""
+    spark = spark or SparkSession.getActiveSession()
     found = []
-    for at, _, files in os.walk(root):
-        if "_SUCCESS" in files:
-            found.append((dict(re.findall(r"(\w+)=([^/]+)", os.path.relpath(at, root))), at))
+    for depth in ("type=*/*=*/*=*", "type=*/*=*/*=*/*=*"):
+        own, fs = file_system(spark, f"{root.rstrip('/')}/{depth}/_SUCCESS")
+        for status in fs.globStatus(own) or []:
+            leaf = status.getPath().getParent().toString()
+            found.append((dict(re.findall(r"(\w+)=([^/]+)", leaf[leaf.index("/type=") :])), leaf))
     return sorted(found, key=lambda x: x[1])
 
 
 def read_datasets(spark: SparkSession, root: str, **wanted: str) -> DataFrame | None:
     """(type, unit, model, text, construction, node_id, vector) of the leaves with these partition values; None if there are none."""
     out = None
-    for values, path in leaves(root):
+    for values, path in leaves(root, spark):
         if any(values.get(k) != v for k, v in wanted.items()):
             continue
         one = spark.read.parquet(path).select(*[F.lit(values.get(k)).cast("string").alias(k) for k in ("type", "unit", "model", "text", "construction")], "node_id", "vector")
@@ -71,3 +87,31 @@ def read_datasets(spark: SparkSession, root: str, **wanted: str) -> DataFrame |
 def not_written(plan: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of a plan whose dataset isn't written yet."""
     return plan.join(written, keys, "left_anti")
+
+
+def new_leaves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The distinct rows of a later listing that an earlier one hasn't."""
+    return after.subtract(before)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(leaf): the written leaves, relative to the root."""
+    paths = [(leaf[leaf.index("/type=") + 1 :],) for _, leaf in leaves(root, spark)]
+    return spark.createDataFrame(paths, "leaf string")
+
+
+def archive(spark: SparkSession, root: str, chosen: DataFrame, target: str) -> list[str]:
+    """Zip the files of the chosen leaves (leaf) into a local file with their relative names; returns the names. A listing is as long as the catalog, not as its data."""
+    names = []
+    with zipfile.ZipFile(target, "w") as z:
+        for leaf in sorted(r.leaf for r in chosen.collect()):
+            own, fs = file_system(spark, f"{root.rstrip('/')}/{leaf}")
+            for status in fs.listStatus(own):
+                name = f"{leaf}/{status.getPath().getName()}"
+                stream = fs.open(status.getPath())
+                with z.open(name, "w", force_zip64=True) as out:
+                    while len(part := stream.readNBytes(1 << 20)):
+                        out.write(bytes(part))
+                stream.close()
+                names.append(name)
+    return names

@@ -21,10 +21,9 @@ class Prepared:
     dictionary: DataFrame
 
 
-def prepare(nested: DataFrame, unit: str, corpus: DataFrame | None = None, strict: bool = True, weights: DataFrame | None = None) -> Prepared:
-    """Relations of a unit of nested groups; weights are given or counted over `corpus`, without either every value weighs 1. strict: a value without a weight is an error."""
+def prepare(nested: DataFrame, unit: str, corpus: DataFrame | None = None, strict: bool = True, weights: DataFrame | None = None, unseen: DataFrame | None = None) -> Prepared:
+    """Relations of a unit of nested groups; weights are given or counted over `corpus`, without either every value weighs 1. strict: a value without a weight is an error, unless `unseen` (total) is given."""
     words = tokens(nested, unit)
-    unseen = None
     if weights is None and corpus is not None:
         total = frequency.total_tokens(corpus)
         weights = frequency.icf_weights(frequency.frequency(corpus, unit), total)

@@ -63,10 +63,27 @@ def variations_for_model(slug: str) -> tuple[Variation, ...]:
     return VARIATIONS[:1] if BY_SLUG[slug].strips_marks else VARIATIONS
 
 
+#: The short names of the large models.
+ALIASES = {
+    "bge": "bge-multilingual-gemma2",
+    "qwen3": "qwen3-embedding",
+    "kalm": "kalm-embedding",
+    "llama-nemotron": "llama-embed-nemotron",
+    "harrier": "harrier-oss-v1",
+    "f2llm": "f2llm-v2",
+}
+
+
 def models_for_choice(choice: str | None) -> tuple[Model, ...]:
-    """The large model of that slug, or all of them; an unknown choice is a KeyError."""
+    """The large model of that short name or slug, or all of them; an unknown choice is a KeyError."""
     large = {m.slug: m for m in MODELS if m.path == "large"}
-    return tuple(large.values()) if choice is None else (large[choice],)
+    return tuple(large.values()) if choice is None else (large[ALIASES.get(choice, choice)],)
+
+
+def large_models(spark: SparkSession) -> DataFrame:
+    """(choice, model, dtype): the models of each choice; the choice of all is null."""
+    rows = [(choice, m.slug, m.dtype) for choice in (None, *ALIASES) for m in models_for_choice(choice)]
+    return spark.createDataFrame(rows, "choice string, model string, dtype string")
 
 
 def dataset_name(slug: str, variation: str) -> str:
@@ -79,8 +96,10 @@ def dataset_description(slug: str, variation: Variation) -> str:
 
 
 def model_variations(spark: SparkSession) -> DataFrame:
-    """(model, variation, dataset, dim): every dataset of the registry, as a filtered product of two literal tables."""
+    """(model, variation, dataset, dim, leaf, description): every dataset of the registry, as a filtered product of two literal tables."""
     models = spark.createDataFrame([(m.slug, m.dataset, m.dim, m.strips_marks) for m in MODELS], "model string, d string, dim int, strips boolean")
-    variations = spark.createDataFrame([(v.name,) for v in VARIATIONS], "variation string")
+    variations = spark.createDataFrame([(v.name, v.description) for v in VARIATIONS], "variation string, about string")
     plan = models.crossJoin(F.broadcast(variations)).where("not strips or variation = 'consonantal'")  # literal tables
-    return plan.select("model", "variation", F.concat_ws("_", F.lit("semantic"), "d", "variation").alias("dataset"), "dim")
+    leaf = F.concat(F.lit("type=semantic/model="), F.col("d"), F.lit("/text="), F.col("variation"))
+    text = F.format_string("%s embeddings of each segment, %s; node_id int32, vector float32[%d]", "d", "about", "dim")
+    return plan.select("model", "variation", F.concat_ws("_", F.lit("semantic"), "d", "variation").alias("dataset"), "dim", leaf.alias("leaf"), text.alias("description"))

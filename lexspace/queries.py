@@ -5,22 +5,29 @@ Groups are psalms, segments half-verses, tokens words; the corpus whose frequenc
 
 from __future__ import annotations
 
+import os
+from types import SimpleNamespace
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspace.functions.dense import all_finite, densify, norm, rotary_tables
+from lexspace.functions.dense import all_finite, densify, last_token_pooled, norm, rotary_tables, sparsify
 from lexspace.functions.text import strip_marks, strip_space
 from lexspace.operators import frequency as freq
-from lexspace.operators import position, recurrence
-from lexspace.operators.shuffle import shuffled_order
-from lexspace.operators.vocabulary import vocabulary
-from lexspace.plans.catalog import not_written
+from lexspace.operators import position, recurrence, vectors
+from lexspace.operators.shuffle import numpy_order, shuffled_order
+from lexspace.operators.vocabulary import dictionary, vocabulary
+from lexspace.plans import pipeline
+from lexspace.plans.catalog import listing, new_leaves, not_written, read_datasets
 from lexspace.plans.constructions import CONSTRUCTIONS, Prepared, build, prepare
-from lexspace.plans.encode import batch_numbers, encode, node_vectors, spans
+from lexspace.plans.encode import KEY_VARIABLES, batch_numbers, encode, group_order, node_vectors, spans
+from lexspace.plans.fetchers import PROVIDERS, fetcher
+from lexspace.plans.models import CHECKPOINTS, acquired, loading, local_encoder
 from lexspace.plans.pipeline import text_segments
-from lexspace.plans.registry import model_variations
-from lexspace.sources.corpus import LEXICAL_UNITS, TIERS, UNITS, in_scope, nested_from_words, segment_texts, segments, tokens, variant, words
-from lexspace.storage import table
+from lexspace.plans.registry import BY_SLUG, large_models, model_variations
+from lexspace.sources.corpus import LEXICAL_COLUMNS, LEXICAL_UNITS, SURFACE_COLUMNS, TEXT_COLUMNS, UNITS, WORD_COLUMNS, containment, in_scope, load_corpus, nested_from_words, segment_texts, segments, tokens, words
+from lexspace.storage import new_path, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,18 +85,18 @@ def _frequency_sql(unit: str) -> str:
     return f"{_WORDS}, fr as (select {_value_sql(unit)} as value, count(*) as f from w where {UNITS[unit][1]} is not null group by 1)"
 
 
-def _tokens_sql(unit: str) -> str:
+def _tokens_sql(unit: str, source: str | None = None) -> str:
     """CTEs up to seg(group_id, n, seg_idx, node_id) and tok(group_id, n, seg_idx, node_id, tok_idx, value)."""
-    name, column = nested_table(unit), UNITS[unit][0]
+    name, column = source or nested_table(unit), UNITS[unit][0]
     return f"""g as (select number as group_id, first(half_verse_nodes order by loaded_at) as nodes, first({column} order by loaded_at) as ws from {name} where number is not null group by number),
 s0 as (select group_id, len(nodes) as n, unnest(range(len(nodes))) as seg_idx, unnest(nodes) as node_id, unnest(ws) as w from g),
 seg as (select group_id, n, seg_idx, node_id from s0 where node_id is not null),
 tok as (select * from (select group_id, n, seg_idx, node_id, unnest(range(len(w))) as tok_idx, unnest(w) as value from s0 where node_id is not null) where value is not null)"""
 
 
-def _tf_sql(unit: str) -> str:
+def _tf_sql(unit: str, source: str | None = None) -> str:
     """CTEs up to tf(group_id, n, seg_idx, node_id, idx, size, w, tf)."""
-    return f"""with {_tokens_sql(unit)}, {_TOTAL}, {_frequency_sql(unit)},
+    return f"""with {_tokens_sql(unit, source)}, {_TOTAL}, {_frequency_sql(unit)},
 voc as (select value, row_number() over (order by value) - 1 as idx, count(*) over () as size from (select distinct value from tok)),
 dic as (select value, idx, size, coalesce(ln((total + 1) / (f + 1)), ln(total + CAST(1 AS DOUBLE))) + 1 as w from voc left join fr using (value), tot),
 tf as (select group_id, n, seg_idx, node_id, idx, size, w, count(*) as tf from tok join dic using (value) group by all)"""
@@ -201,9 +208,59 @@ def segments_of_groups(spark: SparkSession, sf: str) -> DataFrame:
     return segments(table(spark, sf, "lexical_psalm"))
 
 
-@query("select distinct number, len(half_verse_nodes) as segments from lexical_psalm where book = 'Sefer Alef' and number is not null")
+_SCOPE = f"(select * from lexical_psalm where book = '{BOOK}')"
+
+
+@query(f"with {_tokens_sql('lexeme', _SCOPE)} select group_id, cast(n as int) as n, cast(seg_idx as int) as seg_idx, node_id, cast(tok_idx as int) as tok_idx, value from tok")
 def scope_of_book(spark: SparkSession, sf: str) -> DataFrame:
-    return in_scope(table(spark, sf, "lexical_psalm"), BOOK).where("number is not null").select("number", F.size("half_verse_nodes").cast("long").alias("segments")).distinct()
+    return tokens(in_scope(table(spark, sf, "lexical_psalm"), BOOK), "lexeme")
+
+
+@query(f"{_tf_sql('lexeme', _SCOPE)} select node_id, cast(idx as bigint) as idx, round(ln(1 + tf) * w, 6) as val from tf")
+def lexeme_tf_icf_of_book(spark: SparkSession, sf: str) -> DataFrame:
+    """One book's vectors over its own vocabulary, weighted by the whole corpus."""
+    p = prepare(in_scope(table(spark, sf, "lexical_psalm"), BOOK), "lexeme", table(spark, sf, "corpus_word"), strict=False)
+    return build("tf_icf", p).select("node_id", "idx", F.round("val", 6).alias("val"))
+
+
+def _loaded_sql(name: str, *columns: str) -> str:
+    """All words (or texts) of a nested table as delivered, one row for each."""
+    places = ", ".join(f"unnest({c}) as {c}" for c in columns)
+    return f"select number, node_id, place, {', '.join(columns)} from (select number, unnest(half_verse_nodes) as node_id, unnest(range(len(half_verse_nodes))) as place, {places} from {name})"
+
+
+def _loaded(path: str, columns: tuple[str, ...]):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        layers = [c for c in columns if c not in ("number", "half_verse_nodes")]
+        rows = load_corpus(spark, f"{sf}/{path}.parquet", columns).select("number", F.posexplode(F.arrays_zip("half_verse_nodes", *layers)).alias("place", "z"))
+        texts = [(F.array_join(F.col(f"z.{c}"), "|", "?") if path != "psalm" else F.col(f"z.{c}")).alias(c) for c in layers]
+        return rows.select("number", F.col("z.half_verse_nodes").alias("node_id"), F.col("place").cast("long").alias("place"), *texts)
+
+    return run
+
+
+def _layers_sql(name: str, columns: tuple[str, ...]) -> str:
+    layers = [c for c in columns if c not in ("number", "half_verse_nodes")]
+    words_ = [f"array_to_string(list_transform({c}, lambda x: coalesce(x, '?')), '|') as {c}" if name != "psalm" else c for c in layers]
+    return f"select number, node_id, place, {', '.join(words_)} from ({_loaded_sql(name, *layers)})"
+
+
+for _table, _columns in (("lexical_psalm", LEXICAL_COLUMNS), ("surface_psalm", SURFACE_COLUMNS), ("psalm", TEXT_COLUMNS)):
+    add(f"loaded_{_table}", _loaded(_table, _columns), _layers_sql(_table, _columns))
+
+
+@query(f"select {', '.join(WORD_COLUMNS)} from corpus_word")
+def loaded_corpus_word(spark: SparkSession, sf: str) -> DataFrame:
+    return load_corpus(spark, f"{sf}/corpus_word.parquet", WORD_COLUMNS)
+
+
+@query(f"with {_tokens_sql('lexeme')} select group_id, cast(n as int) as n, cast(seg_idx as int) as seg_idx, node_id from seg")
+def acquired_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """A corpus that isn't where it is looked for is cloned once; here the clone is a link to the tables."""
+    folder = new_path(spark, "acquired").removeprefix("file://")
+    for _ in range(2):
+        path = acquired(f"{folder}/none", folder, os.symlink, os.path.abspath(sf), "lexical_psalm.parquet")
+    return segments(load_corpus(spark, path))
 
 
 @query(f"with {_WORDS} select node, number, half_verse_node, lex, lex0, coalesce(freq_lex, -1) as freq_lex, g_cons, g_word, trailer from w")
@@ -211,9 +268,14 @@ def distinct_words(spark: SparkSession, sf: str) -> DataFrame:
     return words(table(spark, sf, "corpus_word")).select("node", "number", "half_verse_node", "lex", "lex0", F.coalesce("freq_lex", F.lit(-1)).alias("freq_lex"), "g_cons", "g_word", "trailer")
 
 
-@query("select distinct half_verse_node, number from corpus_word where half_verse_node is not null")
-def containment(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "corpus_word").where("half_verse_node is not null").select("half_verse_node", "number").distinct()
+@query("select number, half_verse_node, cast(row_number() over (partition by number order by half_verse_node) - 1 as int) as place from (select distinct number, half_verse_node from corpus_word where half_verse_node is not null and number is not null)")
+def segments_in_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return containment(table(spark, sf, "corpus_word"))
+
+
+@query("select half_verse_node, node, cast(row_number() over (partition by half_verse_node order by node) - 1 as int) as place from (select distinct half_verse_node, node from corpus_word where half_verse_node is not null and node is not null)")
+def words_in_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return containment(table(spark, sf, "corpus_word"), "half_verse_node", "node")
 
 
 @query(f"""with {_WORDS}, s as (select number, half_verse_node, string_agg(coalesce(g_cons, '') || coalesce(trailer, ''), '' order by node) as c, string_agg(coalesce(g_word, '') || coalesce(trailer, ''), '' order by node) as t from w where half_verse_node is not null group by all)
@@ -222,13 +284,20 @@ def segment_text(spark: SparkSession, sf: str) -> DataFrame:
     return segment_texts(words(table(spark, sf, "corpus_word")))
 
 
-@query(f"""with {_WORDS}, s as (select number, half_verse_node, list(lex order by node) as l, list(g_cons order by node) as c from w where number is not null and half_verse_node is not null group by all)
-select number, cast(count(*) as bigint) as segments, cast(sum(len(l)) as bigint) as words, cast(sum(len(list_filter(c, lambda x: x is not null))) as bigint) as forms from s group by number""")
+@query(f"""with {_WORDS} select number, half_verse_node as node_id, cast(dense_rank() over (partition by number order by half_verse_node) - 1 as int) as seg_idx, cast(row_number() over (partition by number, half_verse_node order by node) - 1 as int) as tok_idx, lex as lexeme, g_cons as consonantal
+from w where number is not null and half_verse_node is not null""")
 def groups_from_words(spark: SparkSession, sf: str) -> DataFrame:
     nested = nested_from_words(words(table(spark, sf, "corpus_word")), "lexeme", "consonantal")
-    total = F.aggregate(F.transform("lexeme", lambda x: F.size(x)), F.lit(0), lambda s, x: s + x)
-    known = F.aggregate(F.transform("consonantal", lambda x: F.size(F.filter(x, lambda y: y.isNotNull()))), F.lit(0), lambda s, x: s + x)
-    return nested.select("number", F.size("nodes").cast("long").alias("segments"), total.cast("long").alias("words"), known.cast("long").alias("forms"))
+    rows = nested.select("number", F.posexplode(F.arrays_zip("nodes", "lexeme", "consonantal")).alias("seg_idx", "z"))
+    return rows.select("number", F.col("z.nodes").alias("node_id"), "seg_idx", F.posexplode(F.arrays_zip("z.lexeme", "z.consonantal")).alias("tok_idx", "w")).select("number", "node_id", "seg_idx", "tok_idx", F.col("w.lexeme").alias("lexeme"), F.col("w.consonantal").alias("consonantal"))
+
+
+@query(f"with l as (select * from (with {_tokens_sql('lexeme')} select * from tok)), f as (select * from (with {_tokens_sql('homograph')} select * from tok)) select group_id, node_id, cast(tok_idx as int) as tok_idx, l.value as lexeme, f.value as form from l join f using (group_id, node_id, tok_idx)")
+def aligned_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexeme and form of each word, by its place."""
+    nested = table(spark, sf, "lexical_psalm")
+    keys = ["group_id", "node_id", "tok_idx"]
+    return tokens(nested, "lexeme").select(*keys, F.col("value").alias("lexeme")).join(tokens(nested, "homograph").select(*keys, F.col("value").alias("form")), keys)
 
 
 # --- text -------------------------------------------------------------------------------------------------------
@@ -327,21 +396,46 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("node_id", finite.alias("finite"), F.when(finite, F.round(norm(F.col("vector")), 4)).alias("norm"))
 
 
-@query(f"{_tf_sql('lexeme')}, x as (select node_id, sum(w) as total, sqrt(sum(w * w)) as length, count(*) as entries from tf group by node_id) select seg.node_id, any_value(v.size) as dim, round(coalesce(any_value(total), 0), 3) as total, round(coalesce(any_value(length), 0), 3) as length, coalesce(any_value(entries), 0) as entries from seg left join x using (node_id), (select max(size) as size from voc) v group by seg.node_id")
+_FLOAT = "round(cast(cast(val as float) as double), 4) + 0.0 as val"
+_KEPT = "round(cast(cast(val as float) as double), 4) <> 0"
+
+
+def _stored(column: str = "val"):
+    """A stored single-precision value, in double precision and rounded."""
+    return (F.round(F.col(column).cast("double"), 4) + F.lit(0.0)).alias("val")
+
+
+@query(f"{_tf_sql('lexeme')}, x as (select node_id, idx, w as val from tf union all select node_id, -1, size from seg, (select max(size) as size from voc)) select node_id, cast(idx as bigint) as idx, {_FLOAT} from x where {_KEPT}")
 def dense_icf(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense vectors, read back entry by entry; at -1 the vector's dimension."""
     p = prepared(spark, sf, "lexeme")
     size = p.dictionary.agg(F.max("size").alias("v")).first().v or 0
     dense = densify(build("icf", p), p.segments, int(size))
-    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return dense.select("node_id", F.size("vector").cast("long").alias("dim"), F.round(total, 3).alias("total"), F.round(norm(F.col("vector")), 3).alias("length"), F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("entries"))
+    entries = sparsify(dense).select("node_id", F.col("idx").cast("long").alias("idx"), _stored()).where("val <> 0")
+    return entries.unionByName(dense.select("node_id", F.lit(-1).cast("long").alias("idx"), F.size("vector").cast("double").alias("val")))
 
 
-@query("select distinct p.node_id, s.group_id, cast(s.seg_idx as int) as seg_idx from part_0 p join (select number as group_id, unnest(range(len(half_verse_nodes))) as seg_idx, unnest(half_verse_nodes) as node_id from (select distinct on (number) * from lexical_psalm where number is not null)) s using (node_id) where p.vector is not null")
+@query(f"""with {_tokens_sql('lexeme')}, e as (select node_id, unnest(vector) as val, unnest(range(len(vector))) as idx from part_0 where vector is not null and {_FINITE})
+select node_id, idx, round(cast(val as double), 4) + 0.0 as val from e join seg using (node_id)""")
 def node_vectors_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings by group and place, joined to the segments' nodes, entry by entry."""
     own = segments(table(spark, sf, "lexical_psalm"))
-    embedded = table(spark, sf, "part_0").where("vector is not null").join(own.select("node_id", "group_id", "seg_idx"), "node_id").select("group_id", "seg_idx", "vector")
-    found = node_vectors(embedded, own).select("node_id").distinct()
-    return found.join(own, "node_id").select("node_id", "group_id", "seg_idx")
+    finite = table(spark, sf, "part_0").where(F.coalesce(all_finite(F.col("vector")), F.lit(False)))
+    embedded = finite.join(own.select("node_id", "group_id", "seg_idx"), "node_id").select("group_id", "seg_idx", "vector")
+    found = node_vectors(embedded, own).select("node_id", F.posexplode("vector").alias("idx", "val"))
+    return found.select("node_id", F.col("idx").cast("long").alias("idx"), _stored())
+
+
+_POOL_SQL = "select number, cast(i as int) as i, round(cast(x as double) / n, 6) + 0.0 as x, round(1 / n, 6) as y from (select number, i, x, sqrt(x * x + 1) as n from (select distinct on (number) number, len(half_verse_nodes) as i, CAST(len(half_verse_nodes) - 1 AS DOUBLE) as x from lexical_psalm where number is not null and half_verse_nodes is not null and len(half_verse_nodes) > 0))"
+
+
+@query(_POOL_SQL)
+def pooled_last_token(spark: SparkSession, sf: str) -> DataFrame:
+    """A group's segments as a padded sequence of hidden states (place, 1), of which the last one under the mask is taken."""
+    own = segments(table(spark, sf, "lexical_psalm")).select(F.col("group_id").alias("number"), "n").distinct().crossJoin(F.broadcast(segments(table(spark, sf, "lexical_psalm")).agg((F.max("n") + 1).alias("most"))))  # one row
+    at = F.sequence(F.lit(0), F.col("most") - 1)
+    batch = own.select("number", F.col("n").alias("i"), F.transform(at, lambda x: F.array(x.cast("double"), F.lit(1.0))).alias("hidden"), F.transform(at, lambda x: (x < F.col("n")).cast("int")).alias("mask"))
+    return last_token_pooled(batch).select("number", "i", (F.round(F.col("vector")[0], 6) + F.lit(0.0)).alias("x"), F.round(F.col("vector")[1], 6).alias("y"))
 
 
 @query("select cast(p.i as int) as position, cast(i.i as int) as i, round(cos(p.i / pow(10000, 2.0 * i.i / 64)), 6) as cos, round(sin(p.i / pow(10000, 2.0 * i.i / 64)), 6) as sin from range(64) p(i), range(32) i(i)")
@@ -349,7 +443,7 @@ def rotary(spark: SparkSession, sf: str) -> DataFrame:
     return rotary_tables(spark, 64, 64).select("position", "i", F.round("cos", 6).alias("cos"), F.round("sin", 6).alias("sin"))
 
 
-# --- encoders, plans --------------------------------------------------------------------------------------------
+# --- encoders ---------------------------------------------------------------------------------------------------
 
 
 def _lengths():
@@ -365,38 +459,330 @@ def encode_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("node_id", F.col("vector")[0].cast("double").alias("first"), F.col("vector")[1].cast("double").alias("second"))
 
 
+class _Failing:
+    """An encoder whose first two makings in a process give values that aren't finite."""
+
+    made = 0
+
+    def __init__(self):
+        _Failing.made += 1
+        self.bad = _Failing.made % 3 != 0
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float("nan") if self.bad else float(len(t)), 1.0] for t in texts]
+
+
+@query(f"select node_id, cast(length(coalesce(text, '')) as double) as first, CAST(1 AS DOUBLE) as second from ({_TEXTS})")
+def encode_with_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts whose vectors aren't finite are made again with a new encoder."""
+    got = encode(text_segments(table(spark, sf, "psalm"), False, False), _Failing, dim=2, attempts=3)
+    return got.select("node_id", F.col("vector")[0].cast("double").alias("first"), F.col("vector")[1].cast("double").alias("second"))
+
+
+class _Sentences:
+    """Stands for the sentence library's model: the number of code points in the first place, 1 in the last, at length one if asked for."""
+
+    def __init__(self, checkpoint: str, trust_remote_code: bool, device: str | None, **options):
+        self.dim = BY_SLUG[next(s for s, c in CHECKPOINTS.items() if c == checkpoint)].dim
+
+    def encode(self, texts: list[str], normalize_embeddings: bool) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim))
+        out[:, 0], out[:, -1] = [len(t) for t in texts], 1
+        return out / np.linalg.norm(out, axis=1, keepdims=True) if normalize_embeddings else out
+
+
+class _Hosted:
+    """Stands for both kinds of provider's client: the number of code points in the first place of a vector, 1 in the last."""
+
+    def __init__(self, api_key: str, base_url: str | None = None):
+        self.embeddings = self
+
+    def _vectors(self, model: str, texts: list[str]) -> list[list[float]]:
+        dim = BY_SLUG[next(s for s, p in PROVIDERS.items() if p.model == model)].dim
+        return [[float(len(t)), *[0.0] * (dim - 2), 1.0] for t in texts]
+
+    def create(self, model: str, input: list[str], encoding_format: str) -> SimpleNamespace:  # noqa: A002
+        return SimpleNamespace(data=[SimpleNamespace(embedding=v) for v in self._vectors(model, input)])
+
+    def embed(self, model: str, input_type: str, texts: list[str], embedding_types: list[str]) -> SimpleNamespace:
+        return SimpleNamespace(embeddings=SimpleNamespace(float_=self._vectors(model, texts)))
+
+
+class _Tokenizer:
+    """Code points as tokens, padded on the right."""
+
+    def __call__(self, texts: list[str], padding: bool, truncation: bool, max_length: int, return_tensors: str) -> dict[str, np.ndarray]:
+        cut = [t[:max_length] or "\0" for t in texts]
+        ids, mask = np.zeros((2, len(cut), max(map(len, cut))), np.int64)
+        for i, t in enumerate(cut):
+            ids[i, : len(t)], mask[i, : len(t)] = [ord(c) for c in t], 1
+        return {"input_ids": ids, "attention_mask": mask}
+
+
+class _Bare:
+    """A bare model whose hidden state of a token is (its code point, 1000)."""
+
+    def to(self, device: str) -> _Bare:
+        return self
+
+    def eval(self) -> None:
+        pass
+
+    def __call__(self, input_ids: np.ndarray, attention_mask: np.ndarray) -> SimpleNamespace:
+        return SimpleNamespace(last_hidden_state=np.stack([input_ids, np.full_like(input_ids, 1000)], axis=2).astype(np.float64))
+
+
+_LAST = "case when text is null or text = '' then 0 else unicode(substring(text, least(length(text), 512), 1)) end"
+
+
+@query(f"select node_id, round(c / sqrt(c * c + 1000000), 4) as first, round(1000 / sqrt(c * c + 1000000), 4) as second from (select node_id, cast({_LAST} as double) as c from ({_TEXTS}))")
+def encode_last_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The path of models without the sentence library: tokenizer, bare model, pooling of the last token."""
+    make = local_encoder("kalm-embedding", "cpu", load_tokenizer=lambda checkpoint, **options: _Tokenizer(), load_model=lambda checkpoint, **options: _Bare())
+    got = encode(text_segments(table(spark, sf, "psalm"), False, False), make, dim=2)
+    return got.select("node_id", F.round(F.col("vector")[0].cast("double"), 4).alias("first"), F.round(F.col("vector")[1].cast("double"), 4).alias("second"))
+
+
+@query(f"select node_id, dim, cast(length(coalesce(text, '')) as double) as first, CAST(1 AS DOUBLE) as last from ({_TEXTS}), (select unnest([3072, 3072, 1536, 1024]) as dim)")
+def fetched_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts' vectors from each of the four providers, whose clients are replaced here."""
+    out = None
+    for slug in PROVIDERS:
+        get = fetcher(slug, _Hosted)
+        rows = encode(text_segments(table(spark, sf, "psalm"), False, False), lambda get=get: lambda texts: get(texts, "key"), BY_SLUG[slug].dim, 500)
+        own = rows.select("node_id", F.size("vector").alias("dim"), F.col("vector")[0].cast("double").alias("first"), F.element_at("vector", -1).cast("double").alias("last"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""select * from (values ('gemini', 'google/gemini-embedding-2', 100, 3072, 'OPENROUTER_API_KEY'), ('openai', 'openai/text-embedding-3-large', 100, 3072, 'OPENROUTER_API_KEY'),
+('cohere', 'embed-v4.0', 96, 1536, 'COHERE_API_KEY'), ('voyage', 'voyageai/voyage-4', 100, 1024, 'OPENROUTER_API_KEY')) t(provider, model, batch, dim, key_variable)""")
+def providers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(s, p.model, BY_SLUG[s].batch, BY_SLUG[s].dim, KEY_VARIABLES[s]) for s, p in PROVIDERS.items()]
+    return spark.createDataFrame(rows, "provider string, model string, batch int, dim int, key_variable string")
+
+
+_LOADING_SQL = """with m as (select * from (values ('miqrabert', false, true, null, 1), ('alephbert', false, true, null, 1), ('neodictabert', false, true, null, 1), ('berel', false, true, null, 1),
+('bge-multilingual-gemma2', false, true, 'float16', 1), ('qwen3-embedding', false, true, 'auto', 1), ('kalm-embedding', true, true, 'bfloat16', 1), ('llama-embed-nemotron', false, true, 'bfloat16', 1),
+('harrier-oss-v1', true, false, 'auto', 1), ('f2llm-v2', false, false, 'bfloat16', 1), ('bge-m3', false, true, null, 1), ('gte-multilingual-base', false, true, null, 5), ('me5-large-instruct', false, true, null, 1)) t(model, plain, own_code, dtype, attempts)),
+d as (select * from (values (null, false, false), (null, false, true), (null, true, false), (null, true, true), ('cuda:1', false, false)) t(asked, cuda, mps))
+select model, asked, cuda, mps, plain, own_code, dtype, attempts, coalesce(asked, case when plain then case when cuda then 'cuda' when mps then 'mps' else 'cpu' end when model = 'gte-multilingual-base' then 'cpu' end) as device from m, d"""
+
+
+@query(_LOADING_SQL)
+def model_loading(spark: SparkSession, sf: str) -> DataFrame:
+    """What each model is loaded with, by the device asked for and those that are there."""
+    rows = []
+    for slug in CHECKPOINTS:
+        for asked, cuda, mps in ((None, False, False), (None, False, True), (None, True, False), (None, True, True), ("cuda:1", False, False)):
+            how = loading(slug, asked, None, cuda, mps)
+            rows.append((slug, asked, cuda, mps, how.plain, how.own_code, how.dtype, how.attempts, how.device))
+    return spark.createDataFrame(rows, "model string, asked string, cuda boolean, mps boolean, plain boolean, own_code boolean, dtype string, attempts int, device string")
+
+
 @query(f"with {_SEG} select group_id, node_id, cast(floor(seg_idx / 96) as int) as batch from seg")
 def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return batch_numbers(segments(table(spark, sf, "lexical_psalm")), 96, "seg_idx").select("group_id", "node_id", "batch")
 
 
-@query(f"with {_SEG} select group_id, cast(coalesce(sum(m) over (order by group_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(sum(m) over (order by group_id) as bigint) as \"end\" from (select group_id, count(*) as m from seg group by group_id)")
+_SPANS_SQL = "coalesce(sum(m) over (order by group_id rows between unbounded preceding and 1 preceding), 0)"
+
+
+@query(f"with {_SEG} select group_id, cast({_SPANS_SQL} as bigint) as start, cast(sum(m) over (order by group_id) as bigint) as \"end\" from (select group_id, count(*) as m from seg group by group_id)")
 def group_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans(segments(table(spark, sf, "lexical_psalm")))
 
 
-def _plan(spark: SparkSession) -> DataFrame:
-    units = spark.createDataFrame([(unit_name(u),) for u in UNITS], "unit string")
-    names = spark.createDataFrame([(c,) for c in CONSTRUCTIONS], "construction string")
-    return units.crossJoin(F.broadcast(names))  # literal tables
+@query(f"with {_SEG} select group_id, cast(row_number() over (order by group_id) - 1 as bigint) as rank, cast({_SPANS_SQL} as bigint) as start from (select group_id, count(*) as m from seg group by group_id)")
+def groups_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return group_order(segments(table(spark, sf, "lexical_psalm"))).select("group_id", "rank", "start")
+
+
+# --- strict weights, words out of the vocabulary, numpy's permutation ---------------------------------------------------
+
+
+@query(f"""with {_tokens_sql('lexeme')}, t as (select count(*) as total from tok), f as (select value, count(*) as f from tok group by value),
+voc as (select value, row_number() over (order by value) - 1 as idx from f)
+select node_id, cast(idx as bigint) as idx, round(ln((total + 1) / (f + 1)) + 1, 6) as val from (select distinct node_id, value from tok) join f using (value) join voc using (value), t""")
+def strict_icf(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights counted over the groups themselves, so that every value must have one: a missing one would be an error."""
+    nested = table(spark, sf, "lexical_psalm")
+    own = tokens(nested, "lexeme")
+    weights = freq.icf_weights(own.groupBy("value").agg(F.count("*").alias("f")), own.agg(F.count("*").alias("total")))
+    return build("icf", prepare(nested, "lexeme", weights=weights, strict=True)).select("node_id", "idx", F.round("val", 6).alias("val"))
+
+
+@query(f"""with {_tokens_sql('homograph', _SCOPE)}, o as (select * from tok), own as (select value, row_number() over (order by value) - 1 as idx from (select distinct value from o)),
+a as (select * from (with {_tokens_sql('homograph')} select * from tok)), c as (select node_id, count(idx) as kept, count(*) - count(idx) as dropped, count(distinct idx) as entries, sum(idx) as places from a left join own using (value) group by node_id),
+s as (select * from (with {_tokens_sql('homograph')} select * from seg))
+select s.node_id, coalesce(kept, 0) as kept, coalesce(dropped, 0) as dropped, coalesce(entries, 0) as entries, cast(coalesce(places, 0) as bigint) as places from s left join c using (node_id)""")
+def out_of_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """All groups over one book's vocabulary: other words are left out, their segments stay."""
+    nested = table(spark, sf, "lexical_psalm")
+    own = dictionary(vocabulary(tokens(in_scope(nested, BOOK), "homograph")))
+    every = tokens(nested, "homograph")
+    tf = vectors.term_frequency(every, own).groupBy("node_id").agg(F.sum("tf").alias("kept"), F.count("*").alias("entries"), F.sum(F.col("tf") * F.col("idx")).alias("places"))
+    all_ = every.groupBy("node_id").agg(F.count("*").alias("n"))
+    rows = segments(nested).select("node_id").join(all_, "node_id", "left").join(tf, "node_id", "left").fillna(0)
+    return rows.select("node_id", "kept", (F.col("n") - F.col("kept")).alias("dropped"), "entries", "places")
+
+
+@query()
+def shuffle_order_of_numpy(spark: SparkSession, sf: str) -> DataFrame:
+    """The generator's own permutation of each group, of the first seed; SQL has no such generator, a test compares it with numpy."""
+    return numpy_order(segments(table(spark, sf, "lexical_psalm")), 1)
+
 
+# --- plans, commands and the catalog -------------------------------------------------------------------------------
 
 _UNITS_SQL = ", ".join(f"'{unit_name(u)}'" for u in UNITS)
 _NAMES_SQL = ", ".join(f"'{c}'" for c in CONSTRUCTIONS)
-_PLAN_SQL = f"select unit, construction from (select unnest([{_UNITS_SQL}]) as unit), (select unnest([{_NAMES_SQL}]) as construction)"
+_PLAN_SQL = f"""select unit, construction, unit || '_' || construction as dataset,
+'type=lexical/unit=' || case when unit like 'word%' then 'word/text=' || unit[6:] else unit end || '/construction=' || construction as leaf
+from (select unnest([{_UNITS_SQL}]) as unit), (select unnest([{_NAMES_SQL}]) as construction)"""
 
 
 @query(_PLAN_SQL)
 def dataset_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark)
+    return pipeline.lexical_plan(spark)
+
+
+def _command(spark: SparkSession, root: str, sf: str, what: str, groups: str, *options: str, **given) -> list[str]:
+    """Run the command line over the tables; values without a frequency weigh like frequency 0."""
+    return pipeline.main([what, "--groups", f"{sf}/{groups}.parquet", "--words", f"{sf}/corpus_word.parquet", "--output-root", root, "--lenient", *options], **given)
+
+
+def _written(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, node_id, idx, val) of what was written, entry by entry."""
+    every = read_datasets(spark, root)
+    name = F.concat_ws("_", F.coalesce("unit", F.col("type")), "model", "text", "construction")
+    return every.select(name.alias("dataset"), "node_id", F.posexplode("vector").alias("idx", "val")).where("val <> 0").select("dataset", "node_id", F.col("idx").cast("long").alias("idx"), _stored()).where("val <> 0")
+
+
+def _written_sql(parts: dict[str, str]) -> str:
+    return " union all ".join(f"select '{name}' as dataset, node_id, cast(idx as bigint) as idx, {_FLOAT} from ({sql}) where {_KEPT}" for name, sql in parts.items())
+
+
+#: One construction of each kind; all nineteen are registered as queries of their own.
+_SOME = ("tf_icf", "icf_spacing4_psalm", "icf_position_mean")
+
+
+def _exact(sql: str) -> str:
+    """A construction's SQL with values as they are."""
+    return sql.replace(_ROUND, "idx, val").replace("round(ln(1 + tf) * w, 6) as val", "ln(1 + tf) * w as val")
+
+
+@query(_written_sql({f"{u}_{c}": _exact(construction_sql(c, u)) for u in LEXICAL_UNITS for c in _SOME}))
+def command_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    root = new_path(spark, "datasets")
+    _command(spark, root, sf, "lexical", "lexical_psalm", "--constructions", *_SOME)
+    return _written(spark, root)
+
+
+@query(_written_sql({f"word_{u}_{c}": _exact(construction_sql(c, u)) for u in UNITS if u not in LEXICAL_UNITS for c in _SOME}))
+def command_surface(spark: SparkSession, sf: str) -> DataFrame:
+    root = new_path(spark, "datasets")
+    _command(spark, root, sf, "surface", "surface_psalm", "--constructions", *_SOME)
+    return _written(spark, root)
 
 
-@query(f"select unit, construction from ({_PLAN_SQL}) where not (unit = 'lexeme' and construction in ('icf', 'binary'))")
+def _shuffled_sql(sql: str) -> dict[str, str]:
+    return {f"homograph_{sql}0{s}": f"select * from ({_exact(ORACLE_SQL[sql])}) where seed = {s}" for s in (1, 2)}
+
+
+@query(_written_sql(_shuffled_sql("icf_position_mean_psalm_shuffle")))
+def command_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    root = new_path(spark, "datasets")
+    _command(spark, root, sf, "shuffle", "lexical_psalm", "--n-shuffles", "2", "--order", "hash")
+    return _written(spark, root)
+
+
+@query(_written_sql(_shuffled_sql("icf_position4_shuffle")))
+def command_shuffle_segments(spark: SparkSession, sf: str) -> DataFrame:
+    root = new_path(spark, "datasets")
+    _command(spark, root, sf, "shuffle-segments", "lexical_psalm", "--n-shuffles", "2", "--order", "hash")
+    return _written(spark, root)
+
+
+_TEXT_COLUMN = {"consonantal": "half_verses_unvocalized", "vocalized": "half_verses_niqqud_only", "cantillation": "half_verses"}
+
+
+def _semantic_sql(model: str, dim: int, unit: bool, *texts: str) -> dict[str, str]:
+    n = "sqrt(c * c + 1)" if unit else "CAST(1 AS DOUBLE)"
+    counted = "select node_id, cast(length(coalesce(text, '')) as double) as c from ({})"
+    return {f"semantic_{model}_{t}": " union all ".join(f"select node_id, {i} as idx, {v} / {n} as val from ({counted.format(_variant_sql(_TEXT_COLUMN[t]))})" for i, v in ((0, "c"), (dim - 1, "1"))) for t in texts}
+
+
+def _semantic_command(*options: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = new_path(spark, "datasets")
+        encoders = {s: local_encoder(s, factory=_Sentences) for s in ("berel", "bge-m3", "f2llm-v2")}
+        fetchers = {s: fetcher(s, _Hosted) for s in ("cohere", "voyage")}
+        _command(spark, root, sf, *options[:1], "psalm", *options[1:], encoders=encoders, fetchers=fetchers, env=dict.fromkeys(KEY_VARIABLES.values(), "key"))
+        return _written(spark, root)
+
+    return run
+
+
+_ALL_TEXTS = tuple(_TEXT_COLUMN)
+add("command_semantic", _semantic_command("semantic", "--models", "berel", "voyage"), _written_sql(_semantic_sql("berel", 768, True, "consonantal") | _semantic_sql("voyage_4", 1024, False, *_ALL_TEXTS)))
+add("command_semantic_variation", _semantic_command("semantic", "--models", "berel", "bge-m3", "cohere", "--variation", "vocalized"), _written_sql(_semantic_sql("bge_m3", 1024, True, "vocalized") | _semantic_sql("cohere_embed_v4", 1536, False, "vocalized")))
+
+
+def _large_command(spark: SparkSession, sf: str) -> DataFrame:
+    root = new_path(spark, "datasets")
+    pipeline.main(["large", "--groups", f"{sf}/psalm.parquet", "--output-root", root, "--choice", "f2llm", "--variation", "consonantal"], encoders={"f2llm-v2": local_encoder("f2llm-v2", factory=_Sentences)})
+    return _written(spark, root)
+
+
+add("command_large", _large_command, _written_sql(_semantic_sql("f2llm_v2_14b", 5120, True, "consonantal")))
+
+
+@query(f"with {_SEG} select node_id, row_number() over (order by node_id) - 1 as place from seg")
+def written_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row's place in the file of a written dataset."""
+    root = new_path(spark, "datasets")
+    p = prepare(table(spark, sf, "lexical_psalm"), "lexeme")
+    leaf = pipeline.write_dataset(p.segments.select("node_id", F.array(F.col("seg_idx").cast("float")).alias("vector")), f"{root}/type=lexical/unit=lexeme/construction=place", "places")
+    return spark.read.parquet(leaf).select("node_id", F.col("_metadata.row_index").alias("place"))
+
+
+def _two_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The leaves after a first run with one construction, and after a second with two."""
+    root, got = new_path(spark, "datasets"), []
+    for some in (["icf_spacing2"], ["icf_spacing2", "icf_spacing8"]):
+        _command(spark, root, sf, "lexical", "lexical_psalm", "--constructions", *some)
+        got.append(listing(spark, root))
+    return got[0], got[1]
+
+
+@query("select unnest(['type=lexical/unit=homograph/construction=icf_spacing8', 'type=lexical/unit=lexeme/construction=icf_spacing8']) as leaf")
+def new_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    return new_leaves(*_two_runs(spark, sf))
+
+
+@query(f"select * from ({_PLAN_SQL}) where not (unit in ('lexeme', 'homograph') and construction in ('icf_spacing2', 'icf_spacing8'))")
 def dataset_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    written = spark.createDataFrame([("lexeme", "icf"), ("lexeme", "binary")], "unit string, construction string")
-    return not_written(_plan(spark), written, ["unit", "construction"])
+    """The plan without what two runs have written."""
+    return not_written(pipeline.lexical_plan(spark), _two_runs(spark, sf)[1], ["leaf"])
 
 
-@query()
+_MODELS_SQL = """with m as (select * from (values ('miqrabert', 'miqrabert', 768, true), ('alephbert', 'alephbert', 768, true), ('neodictabert', 'neodictabert', 768, true), ('berel', 'berel', 768, true),
+('bge-multilingual-gemma2', 'bge_multilingual_gemma2', 3584, false), ('qwen3-embedding', 'qwen3_embedding_8b', 4096, false), ('kalm-embedding', 'kalm_embedding_gemma3_12b_2511', 3840, false),
+('llama-embed-nemotron', 'llama_embed_nemotron_8b', 4096, false), ('harrier-oss-v1', 'harrier_oss_v1_27b', 5376, false), ('f2llm-v2', 'f2llm_v2_14b', 5120, false), ('bge-m3', 'bge_m3', 1024, false),
+('gte-multilingual-base', 'gte_multilingual_base', 768, false), ('me5-large-instruct', 'me5_large_instruct', 1024, false), ('gemini', 'gemini_embedding_2', 3072, false),
+('openai', 'openai_text_embedding_3_large', 3072, false), ('cohere', 'cohere_embed_v4', 1536, false), ('voyage', 'voyage_4', 1024, false)) t(model, d, dim, strips)),
+v as (select * from (values ('consonantal', 'consonants only'), ('vocalized', 'with vowel points'), ('cantillation', 'with vowel points and accents')) t(variation, about))
+select model, variation, 'semantic_' || d || '_' || variation as dataset, dim, 'type=semantic/model=' || d || '/text=' || variation as leaf,
+d || ' embeddings of each segment, ' || about || '; node_id int32, vector float32[' || dim || ']' as description from m, v where not strips or variation = 'consonantal'"""
+
+
+@query(_MODELS_SQL)
 def model_datasets(spark: SparkSession, sf: str) -> DataFrame:
     return model_variations(spark)
+
+
+@query("""with a as (select * from (values ('bge', 'bge-multilingual-gemma2', 'float16'), ('qwen3', 'qwen3-embedding', 'auto'), ('kalm', 'kalm-embedding', 'bfloat16'), ('llama-nemotron', 'llama-embed-nemotron', 'bfloat16'),
+('harrier', 'harrier-oss-v1', 'auto'), ('f2llm', 'f2llm-v2', 'bfloat16')) t(choice, model, dtype)) select choice, model, dtype from a union all select null, model, dtype from a""")
+def large_model_choices(spark: SparkSession, sf: str) -> DataFrame:
+    return large_models(spark)

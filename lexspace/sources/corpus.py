@@ -54,15 +54,22 @@ def in_scope(df: DataFrame, book: str, column: str = "book") -> DataFrame:
 
 
 def one_delivery(df: DataFrame, *keys: str) -> DataFrame:
-    """One row for each key; rows with a null key are left out."""
+    """One row for each key, the first by `loaded_at` where there is such a column (then by content); rows with a null key are left out."""
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    return df.dropDuplicates(list(keys))
+    at = _at(df)
+    rest = [c for c in df.columns if c not in keys and c not in at]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*at, *rest)).alias("_first"))
+    return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+
+
+def _at(df: DataFrame) -> list[str]:
+    return [c for c in ("loaded_at",) if c in df.columns]
 
 
 def _zipped(df: DataFrame, column: str, nodes: str, group: str) -> DataFrame:
     """(group_id, n, seg_idx, node_id, words): groups exploded to segments; arrays of different length are an error."""
-    own = one_delivery(df.select(F.col(group).alias("group_id"), F.col(nodes).alias("nodes"), F.col(column).alias("words")), "group_id")
+    own = one_delivery(df.select(F.col(group).alias("group_id"), F.col(nodes).alias("nodes"), F.col(column).alias("words"), *_at(df)), "group_id")
     same = F.when(F.size("nodes") == F.size("words"), F.arrays_zip("nodes", "words")).otherwise(
         F.when(F.col("nodes").isNull() & F.col("words").isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("segments and nodes differ in number in group "), F.col("group_id").cast("string"))))
     )
@@ -70,7 +77,7 @@ def _zipped(df: DataFrame, column: str, nodes: str, group: str) -> DataFrame:
 
 
 def segments(df: DataFrame, nodes: str = "half_verse_nodes", group: str = "number") -> DataFrame:
-    own = one_delivery(df.select(F.col(group).alias("group_id"), F.col(nodes).alias("nodes")), "group_id")
+    own = one_delivery(df.select(F.col(group).alias("group_id"), F.col(nodes).alias("nodes"), *_at(df)), "group_id")
     return own.select("group_id", F.size("nodes").alias("n"), F.posexplode("nodes").alias("seg_idx", "node_id")).where("node_id is not null")
 
 
@@ -80,6 +87,14 @@ def tokens(df: DataFrame, unit: str, nodes: str = "half_verse_nodes", group: str
     return flat.where("value is not null")
 
 
+def containment(flat: DataFrame, parent: str = "number", child: str = "half_verse_node") -> DataFrame:
+    """(parent, child, place): which units lie in which, and each one's place among its parent's children in node order."""
+    from pyspark.sql import Window
+
+    pairs = flat.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(parent, child).distinct()
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(child)) - 1)
+
+
 def words(df: DataFrame) -> DataFrame:
     """Flat words, each node once (its first delivery)."""
     rest = [c for c in WORD_COLUMNS if c != "node" and c in df.columns]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only where a session has none (local tests) a temporary folder is set and used.
+    Only a session in one process (local tests) may have none: a temporary folder is set and used. On a cluster that is a RuntimeError.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexspace-")
         spark.conf.set(CHECKPOINT_CONF, path)
         spark.sparkContext.setCheckpointDir(path)
@@ -61,16 +66,54 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: later uses neither recompute it nor depend on one executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all intermediate tables that were written within; results that are still lazy must be used before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): any storage that Spark reads."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own, fs = file_system(spark, path)
+    return fs.exists(own)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    own, fs = file_system(spark, path)
+    fs.delete(own, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file."""
+    own, fs = file_system(spark, path)
+    out = fs.create(own, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that materialise() wrote and that is no longer needed."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     root = shared_dir(spark) + "/lexspace/"
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/lexspace/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(root + parent.rpartition("/lexspace/")[2])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, root + parent.rpartition("/lexspace/")[2])

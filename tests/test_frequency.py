@@ -4,9 +4,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lexspace.functions.text import joined, strip_marks, strip_space
+from lexspace.functions.text import strip_marks, strip_space
 from lexspace.operators import frequency
-from lexspace.sources.corpus import in_scope, load_corpus, nested_from_words, segment_texts, words
+from lexspace.sources.corpus import containment, in_scope, load_corpus, nested_from_words, one_delivery, segment_texts, words
 
 WORDS = "node int, half_verse_node int, number int, lex string, lex0 string, freq_lex int, g_cons string, g_word string, trailer string, loaded_at timestamp"
 AT = datetime.datetime(2025, 1, 1)
@@ -14,15 +14,17 @@ AT = datetime.datetime(2025, 1, 1)
 
 @pytest.fixture(scope="module")
 def corpus(spark):
+    # two lexemes "gate" and "gates" of the homograph "gat", "river" alone with two statements, and a word without analysis
     rows = [
-        (1, 10, 1, "X1", "X", 10, "בר", "ב֑ר", " ", AT),
-        (2, 10, 1, "X1", "X", 10, "בר", "בר", "\n", AT),
-        (3, 11, 1, "X2", "X", 5, "אש", "אש", "", AT),
-        (4, 12, 2, "Y1", "Y", 3, None, None, " ", AT),
-        (5, 12, 2, "Y1", "Y", 99, "אש", "אש", None, AT),
+        (11, 70, 7, "gate", "gat", 40, "שער", "שע֑ר", " ", AT),
+        (12, 70, 7, "gates", "gat", 17, "שערים", "שערים", "\n", AT),
+        (13, 71, 7, "gate", "gat", 40, "שער", "שער", "", AT),
+        (14, 71, 7, "river", "riv", 6, "נהר", "נהר", "־", AT),
+        (15, 72, 8, "river", "riv", 88, None, None, None, AT),
+        (16, 72, 8, "well", "wel", 2, "באר", "בא֔ר", " ", AT),
     ]
-    late = [(*r[:-1], AT + datetime.timedelta(days=9)) for r in rows[:2]]
-    return spark.createDataFrame([*rows, *late, (6, 12, 2, None, None, None, "אש", "אש", "", AT)], WORDS)
+    late = [(*r[:-1], AT + datetime.timedelta(days=9)) for r in rows[1:4]]
+    return spark.createDataFrame([*rows, *late, (17, 72, 8, None, None, None, "נהר", "נהר", "", AT)], WORDS)
 
 
 def of(df):
@@ -30,38 +32,50 @@ def of(df):
 
 
 def test_frequencies(corpus):
-    assert frequency.total_tokens(corpus).first().total == 6
-    assert of(frequency.frequency(corpus, "lexeme")) == {"X1": 10, "X2": 5, "Y1": 3}
-    assert of(frequency.frequency(corpus, "homograph")) == {"X": 15, "Y": 3}
-    assert of(frequency.frequency(corpus, "cantillation")) == {"ב֑ר": 1, "בר": 1, "אש": 3}
-    assert of(frequency.frequency(corpus, "vocalized")) == {"בר": 2, "אש": 3}
-    assert of(frequency.frequency(corpus, "consonantal")) == {"בר": 2, "אש": 3}
+    assert frequency.total_tokens(corpus).first().total == 7
+    assert of(frequency.frequency(corpus, "lexeme")) == {"gate": 40, "gates": 17, "river": 6, "well": 2}
+    assert of(frequency.frequency(corpus, "homograph")) == {"gat": 57, "riv": 6, "wel": 2}
+    assert of(frequency.frequency(corpus, "cantillation")) == {"שע֑ר": 1, "שערים": 1, "שער": 1, "נהר": 2, "בא֔ר": 1}
+    assert of(frequency.frequency(corpus, "vocalized")) == {"שער": 2, "שערים": 1, "נהר": 2, "באר": 1}
+    assert of(frequency.frequency(corpus, "consonantal")) == {"שער": 2, "שערים": 1, "נהר": 2, "באר": 1}
     with pytest.raises(KeyError):
         frequency.surface_frequency(corpus, "none")
 
 
 def test_weights_may_fall_below_one(spark):
-    f = spark.createDataFrame([("X", 15), ("Y", 3)], "value string, f long")
-    got = {r.value: r.w for r in frequency.icf_weights(f, spark.createDataFrame([(5,)], "total long")).collect()}
-    assert got == pytest.approx({"X": math.log(6 / 16) + 1, "Y": math.log(6 / 4) + 1})
-    assert frequency.icf_weights(f.limit(0), spark.createDataFrame([(5,)], "total long")).count() == 0
+    f = spark.createDataFrame([("often", 29), ("seldom", 1)], "value string, f long")
+    total = spark.createDataFrame([(9,)], "total long")
+    got = {r.value: r.w for r in frequency.icf_weights(f, total).collect()}
+    assert got == pytest.approx({"often": 1 - math.log(3), "seldom": 1 + math.log(5)})
+    assert frequency.icf_weights(f.limit(0), total).count() == 0
 
 
 def test_texts_of_segments(corpus):
     got = {r.node_id: (r.text, r.text_consonantal, r.text_vocalized) for r in segment_texts(words(corpus)).collect()}
-    assert got[10] == ("ב֑ר בר", "בר בר", "בר בר") and got[12] == ("אשאש", "אשאש", "אשאש")
+    assert got[70] == ("שע֑ר שערים", "שער שערים", "שער שערים") and got[71] == ("שערנהר־",) * 3 and got[72] == ("בא֔ר נהר", "באר נהר", "באר נהר")
 
 
 def test_groups_from_words(corpus):
     got = {r.number: r for r in nested_from_words(words(corpus), "lexeme", "vocalized").collect()}
-    assert got[1].nodes == [10, 11] and got[1].lexeme == [["X1", "X1"], ["X2"]] and got[1].vocalized == [["בר", "בר"], ["אש"]]
-    assert got[2].lexeme == [["Y1", "Y1", None]]
+    assert got[7].nodes == [70, 71] and got[7].lexeme == [["gate", "gates"], ["gate", "river"]] and got[7].vocalized == [["שער", "שערים"], ["שער", "נהר"]]
+    assert got[8].lexeme == [["river", "well", None]]
+
+
+def test_containment(corpus):
+    assert {(r.number, r.half_verse_node, r.place) for r in containment(corpus).collect()} == {(7, 70, 0), (7, 71, 1), (8, 72, 0)}
+    assert {(r.half_verse_node, r.node, r.place) for r in containment(corpus, "half_verse_node", "node").where("half_verse_node = 72").collect()} == {(72, 15, 0), (72, 16, 1), (72, 17, 2)}
+
+
+def test_the_first_delivery_counts(spark):
+    rows = [(1, "late", AT + datetime.timedelta(days=1)), (1, "first", AT), (2, "only", AT), (None, "none", AT)]
+    got = one_delivery(spark.createDataFrame(rows, "number int, text string, loaded_at timestamp"), "number").collect()
+    assert {(r.number, r.text) for r in got} == {(1, "first"), (2, "only")}
 
 
 def test_text_functions(spark):
-    row = spark.sql("select 'אָ֑' as a, '\\u2003 x y\\n\\u00a0' as b, array('a', null, 'c') as w, array(' ', '-', null) as t")
-    got = row.select(strip_marks(F.col("a")).alias("a"), strip_space(F.col("b")).alias("b"), joined(F.col("w"), F.col("t")).alias("c")).first()
-    assert (got.a, got.b, got.c) == ("אָ", "x y", "a -c")
+    row = spark.sql("select 'אָ֑' as a, '\\u2003 x y\\n\\u00a0' as b")
+    got = row.select(strip_marks(F.col("a")).alias("a"), strip_space(F.col("b")).alias("b")).first()
+    assert (got.a, got.b) == ("אָ", "x y")
 
 
 def test_loading(spark, tmp_path, corpus):

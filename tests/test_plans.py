@@ -33,7 +33,7 @@ def test_registry(spark):
     assert [v.name for v in registry.variations_for_model("alephbert")] == ["consonantal"]
     assert len(registry.variations_for_model("gemini")) == 3
     assert registry.model_variations(spark).count() == 43 and len(registry.MODELS) == 17
-    assert len(registry.models_for_choice(None)) == 6 and registry.models_for_choice("f2llm-v2")[0].dim == 5120
+    assert len(registry.models_for_choice(None)) == 6 and registry.models_for_choice("f2llm")[0].dim == 5120
     for bad in (lambda: registry.variations_for_model("x"), lambda: registry.models_for_choice("gemini")):
         with pytest.raises(KeyError):
             bad()

@@ -9,7 +9,8 @@ from lexspace.sources.corpus import segments
 import numpy as np
 from pyspark.sql import functions as F
 
-FOUR = [["A"], [], [], ["B"]]
+FIVE = [["sun"], ["moon", "sun"], [], [], ["star"]]
+WEIGHTS = {"moon": 1.5, "star": 7.0, "sun": 4.0}  # places 0, 1, 2
 
 
 def p(spark, *groups_, **w):
@@ -21,9 +22,10 @@ def order(spark, *perm, group=1):
 
 
 def test_places_and_bins(spark):
-    rows = spark.range(4).select(F.col("id"), position.place(F.col("id"), F.lit(4)).alias("t"), position.place_bin(F.col("id"), F.lit(4), 2).alias("b2"), position.place_bin(F.col("id"), F.lit(4), 4).alias("b4")).orderBy("id").collect()
-    assert [r.t for r in rows] == [0.125, 0.375, 0.625, 0.875]
-    assert [r.b2 for r in rows] == [0, 0, 1, 1] and [r.b4 for r in rows] == [0, 1, 2, 3]
+    at = F.col("id")
+    rows = spark.range(5).select(at, position.place(at, F.lit(5)).alias("t"), position.place_bin(at, F.lit(5), 2).alias("b2"), position.place_bin(at, F.lit(5), 4).alias("b4")).orderBy("id").collect()
+    assert [round(r.t, 9) for r in rows] == [0.1, 0.3, 0.5, 0.7, 0.9]
+    assert [r.b2 for r in rows] == [0, 0, 1, 1, 1] and [r.b4 for r in rows] == [0, 1, 2, 2, 3]
     assert spark.range(1).select(position.place(F.col("id"), F.lit(1)).alias("t")).first().t == 0.5
 
 
@@ -37,18 +39,18 @@ def test_bins_equal_whole_number_arithmetic(spark, k):
 
 
 def test_pyramid(spark):
-    assert long(build("icf_position2", p(spark, FOUR, A=2, B=3))) == {100: {0: 2}, 103: {3: 3}}
+    assert long(build("icf_position2", p(spark, FIVE, **WEIGHTS))) == {100: {2: 4}, 101: {0: 1.5, 2: 4}, 104: {4: 7}}
 
 
 def test_pyramid_in_another_order(spark):
-    assert long(build("icf_position2", p(spark, FOUR, A=2, B=3), order(spark, 3, 2, 1, 0))) == {103: {1: 3}, 100: {2: 2}}
+    made = build("icf_position2", p(spark, FIVE, **WEIGHTS), order(spark, 4, 3, 2, 1, 0))
+    assert long(made) == {104: {1: 7}, 101: {3: 1.5, 5: 4}, 100: {5: 4}}
 
 
 def test_group_pyramid(spark):
-    got = long(build("icf_position2_psalm", p(spark, FOUR, A=2, B=3)))
-    assert got == dict.fromkeys((100, 101, 102, 103), {0: 2, 3: 3})
-    again = long(build("icf_position2_psalm", p(spark, FOUR, A=2, B=3), order(spark, 3, 2, 1, 0)))
-    assert again == dict.fromkeys((100, 101, 102, 103), {1: 3, 2: 2})
+    every = range(100, 105)
+    assert long(build("icf_position2_psalm", p(spark, FIVE, **WEIGHTS))) == dict.fromkeys(every, {0: 1.5, 2: 8, 4: 7})
+    assert long(build("icf_position2_psalm", p(spark, FIVE, **WEIGHTS), order(spark, 4, 3, 2, 1, 0))) == dict.fromkeys(every, {1: 7, 3: 1.5, 5: 8})
 
 
 def test_pyramid_of_one_bin_is_icf(spark):
