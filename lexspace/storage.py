@@ -62,13 +62,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lexspace/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: later uses neither recompute it nor depend on one executor."""
+def materialise(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write `df` to the shared folder and read it again: later uses neither recompute it nor depend on one executor. options: of the writer."""
     spark = df.sparkSession
     path = new_path(spark, label)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
