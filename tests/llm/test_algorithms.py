@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,27 @@ def test_fewer_neighbours_than_asked(spark):
     assert collision.nearest(df.limit(0), df.select("node_id").limit(0)).count() == 0
 
 
+def test_blocks_of_the_index(spark, monkeypatch):
+    """Every row is in one block, whatever the batches; without levels a query is compared with all."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(64)) for i in range(70)]
+    monkeypatch.setattr(collision, "BLOCK_ROWS", 16)
+    batches = [pa.record_batch({"key": pa.array(range(a, b)), "vector": pa.array([list(v) for _, v in rows[a:b]], pa.list_(pa.float32()))}) for a, b in ((0, 5), (5, 50), (50, 50), (50, 70))]
+    blocks = list(collision._blocks(iter(batches), 64))
+    assert [len(k) for k, _ in blocks] == [16, 16, 16, 16, 6] and np.concatenate([k for k, _ in blocks]).tolist() == list(range(70))
+    x = np.array([v for _, v in rows])
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    np.fill_diagonal(cos, -2)
+    found = collision.nearest(vectors(spark, rows), spark.range(70), levels=((1e-3, 1, 2),)).collect()
+    assert {(r["query"], r["rank"]): r.neighbour for r in found} == {(q, k + 1): int(n) for q in range(70) for k, n in enumerate(np.argsort(-cos[q])[:5])}
+
+
+def test_equal_vectors_go_to_the_smaller_keys(spark):
+    df = vectors(spark, [(i, [1.0] + [0.5] * 63) for i in range(12, 0, -1)])
+    got = {(r["query"], r.neighbour) for r in collision.nearest(df, df.select("node_id"), k=2).collect()}
+    assert got == {(q, n) for q in range(1, 13) for n in [x for x in (1, 2, 3) if x != q][:2]}
+
+
 @pytest.mark.parametrize("block", [8192, 16])
 def test_clusters(spark, block):
     rng = np.random.default_rng(3)

@@ -77,7 +77,11 @@ def test_collisions_find_what_is_near():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x[:200] + 0.2 * rng.standard_normal((200, 64)).astype(np.float32) / 8
     near /= np.linalg.norm(near, axis=1, keepdims=True)
-    q = collision.Queries(np.arange(10_000, 10_200), near, 1, collision.PROJECTIONS, collision.THRESHOLD)
-    number, key, _ = q.in_block(np.arange(3000), x, 0.2, np.full(200, -2, np.float32))
-    found = dict(zip(number.tolist(), key.tolist(), strict=True))
-    assert np.mean([found.get(i) == i for i in range(200)]) > 0.97
+    line = (x @ collision.directions(64, 64)).T.astype(np.float16)
+    placed = line.argsort(axis=1)
+    open_ = np.full(200, -2, np.float32)
+    for level in collision.LEVELS:
+        q = collision.Queries(np.arange(10_000, 10_200), near, np.full(200, level[0]), open_, 1, level, 64, 64)
+        number, key, _ = q.in_block(np.arange(3000), x, placed, np.take_along_axis(line, placed, axis=1), open_)
+        found = dict(zip(number.tolist(), key.tolist(), strict=True))
+        assert np.mean([found.get(i) == i for i in range(200)]) > 0.97
