@@ -3,16 +3,18 @@
 * Tokenise and pack: in one map stage the texts of each source are tokenised by a public tokenizer and packed
   into blocks of `block_tokens` tokens; what a task has left over of a source (less than a block) is packed together in a second,
   small stage. A block knows its documents and the tokens of each.
-* Size: with n blocks of a source, at most `max_repeats` uses of each and a share p of those sources that
-  can be drawn from, the collection has min(max_repeats * n / p) blocks, the largest in which every share is reached; or
-  fewer, as asked for.
-* Draw: output shards get multinomial counts of the sources, with probabilities that follow what each source
+* Size: with T tokens of a source, at most `max_repeats` uses of each and a share p of those sources that
+  can be drawn from, the collection has min(max_repeats * T / p) tokens, the largest in which every share is reached; or
+  fewer, as asked for. Quotas are in tokens: the last block drawn from a source is cut to what is left of its quota, so a share is met to
+  within a token, however small the source is against a block.
+* Draw: output shards get multinomial counts of the sources' blocks, with probabilities that follow what each source
   still has to give, so the totals are met exactly and no source exceeds its repeats.
 * Permute: the slots of a source go to its blocks through pseudorandom permutations of the block index, one for each
   repeat (a keyed Feistel network with cycle walking). The permutation is inverted at the block, which gives
   the block's slots and shards without moving any tokens: the join by index needs no shuffle.
 
 A repeat of a source begins only when all its blocks have been used as often, so a document is repeated at most max_repeats times.
+The tokenizer's file is sent to the executors, which need no copy of it.
 
 Source names are compared without case and outer space, with - as _. Null or empty texts have no tokens; documents of a null
 or unlisted source are not drawn; a source with a null, negative or zero share, no repeats or no documents gives nothing and
@@ -24,10 +26,12 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +49,20 @@ def plain_source(name: Column) -> Column:
     return F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit("_"))
 
 
-def load_tokenizer(vocabulary: str):
-    """The tokenizer of a rank file, with its published pattern."""
+def published_pattern() -> str:
+    """The pattern that the public rank files are published with; read on the driver only."""
     import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def load_tokenizer(vocabulary: str, pattern: str):
+    """The tokenizer of a rank file and its pattern."""
     import tiktoken
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class Packer:
@@ -94,11 +104,14 @@ class Packer:
 
 
 def token_blocks(documents: DataFrame, sources: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the documents (doc_id, source, text) of `sources` (source): source, part, seq (0.. in each source and part), n_tokens, tokens, docs."""
-    ship_package(documents.sparkSession)
+    """Blocks of the documents (doc_id, source, text) of `sources` (source): source, part, seq (0.. in each source and part), n_tokens, tokens, docs. At most one block of a source isn't full."""
+    spark = documents.sparkSession
+    ship_package(spark)
+    spark.sparkContext.addFile(vocabulary)
+    name, pattern = os.path.basename(vocabulary), published_pattern()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = load_tokenizer(vocabulary), Packer(block_tokens)
+        tokenizer, packer = load_tokenizer(SparkFiles.get(name), pattern), Packer(block_tokens)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
@@ -156,19 +169,34 @@ def permuted(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarr
     return out.astype(np.int64)
 
 
-def quotas(blocks: dict[str, int], weights: dict[str, tuple[float | None, int | None]], total: int | None = None) -> dict[str, int]:
-    """Blocks to draw from each source: shares of the largest total within all repeats, or of `total` if that is less."""
-    can = {s: p for s, (p, r) in weights.items() if p and p > 0 and r and r > 0 and blocks.get(s)}
+def quotas(tokens: dict[str, int], weights: dict[str, tuple[float | None, int | None]], total: int | None = None) -> dict[str, int]:
+    """Tokens to draw from each source, at least one: shares of the largest total within all repeats, or of `total` if that is less."""
+    can = {s: p for s, (p, r) in weights.items() if p and p > 0 and r and r > 0 and tokens.get(s)}
     if not can:
         return {}
     scale = sum(can.values())
-    largest = min(weights[s][1] * blocks[s] * scale / p for s, p in can.items())
+    largest = min(weights[s][1] * tokens[s] * scale / p for s, p in can.items())
     size = min(largest, total) if total else largest
-    exact = {s: size * p / scale for s, p in can.items()}
-    out = {s: math.floor(x + 1e-9) for s, x in exact.items()}
-    for s in sorted(can, key=lambda s: (out[s] - exact[s], s))[: round(size) - sum(out.values())]:
-        out[s] += out[s] < weights[s][1] * blocks[s]
-    return out
+    return {s: max(1, min(round(size * p / scale), weights[s][1] * tokens[s])) for s, p in can.items()}
+
+
+def last_slot(quota: int, blocks: int, tokens: int, block_tokens: int, short: tuple[int, int] | None, place) -> tuple[int, int]:
+    """(slots, tokens of the last slot's block) that give `quota` tokens of a source.
+
+    short: index and length of the block that isn't full, if there is one; place(repeat, index): a block's slot in a repeat.
+    """
+    repeats, rest = divmod(quota, tokens)
+    if not rest:
+        repeats, rest = repeats - 1, tokens
+    z = place(repeats, short[0]) if short else blocks
+    lack = block_tokens - short[1] if short else 0
+
+    def given(c: int) -> int:
+        return c * block_tokens - (lack if z < c else 0)
+
+    c = -(-rest // block_tokens)
+    c += given(c) < rest
+    return repeats * blocks + c, rest - given(c - 1)
 
 
 def shard_counts(quota: dict[str, int], shards: int, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -204,20 +232,33 @@ def mixture(
     weights = weights.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null")
     given = {r.source: (r.target_share, r.max_repeats) for r in weights.orderBy(F.col("target_share").asc_nulls_first()).collect()}
     blocks = token_blocks(documents, weights, vocabulary, block_tokens)
-    parts = blocks.groupBy("source", "part").agg(F.count("*").alias("n")).toPandas()  # sources x tasks rows of a few bytes
+    parts = blocks.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toPandas()  # sources x tasks rows of a few bytes
     number: dict[str, int] = {}
+    held: dict[str, int] = {}
     start: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for s, own in parts.sort_values(["source", "part"]).groupby("source"):
         n = own["n"].to_numpy(np.int64)
-        start[s], number[s] = (own["part"].to_numpy(), np.cumsum(n) - n), int(n.sum())
-    quota = quotas(number, given, total_tokens and max(1, total_tokens // block_tokens))
-    ends = {s: np.cumsum(c) for s, c in shard_counts(quota, shards, seed).items()}
+        start[s], number[s], held[s] = (own["part"].to_numpy(), np.cumsum(n) - n), int(n.sum()), int(own["t"].sum())
+    short = {}
+    for r in blocks.where(F.col("n_tokens") < block_tokens).select("source", "part", "seq", "n_tokens").collect():  # at most one of each source
+        at, first = start[r.source]
+        short[r.source] = int(first[np.searchsorted(at, r.part)]) + r.seq, r.n_tokens
     keys = {s: i for i, s in enumerate(sorted(number))}
-    plan = spark.sparkContext.broadcast((number, start, quota, ends, keys))
+
+    def cipher(s: str, e: int) -> int:
+        return (seed * 1_000_003 + keys[s]) * 1009 + e
+
+    quota, cut = {}, {}
+    for s, x in quotas(held, given, total_tokens).items():
+        place = lambda e, i, s=s: int(permuted(np.array([i]), number[s], cipher(s, e), inverse=True)[0])
+        quota[s], cut[s] = last_slot(x, number[s], held[s], block_tokens, short.get(s), place)
+    ends = {s: np.cumsum(c) for s, c in shard_counts(quota, shards, seed).items()}
+    plan = spark.sparkContext.broadcast((number, start, quota, cut, ends))
     schema = "shard int, source string, slot long, repeat int, block long, n_tokens int, tokens array<int>, docs array<struct<doc_id:long,start:int,n:int>>"
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, start, quota, ends, keys = plan.value
+        number, start, quota, cut, ends = plan.value
+        names_out = ["shard", "source", "slot", "repeat", "block", "n_tokens", "tokens", "docs"]
         for b in batches:
             block, part = b.column(5).to_numpy().astype(np.int64), b.column(4).to_numpy()
             names, rows = np.array(b.column(0).to_pylist(), object), []
@@ -226,33 +267,39 @@ def mixture(
                 block[own] += start[s][1][np.searchsorted(start[s][0], part[own])]
                 n, c = number[s], quota.get(s, 0)
                 for e in range(-(-c // n)):
-                    slot = permuted(block[own], n, (seed * 1_000_003 + keys[s]) * 1009 + e, inverse=True) + e * n
+                    slot = permuted(block[own], n, cipher(s, e), inverse=True) + e * n
                     hit = np.flatnonzero(slot < c)
-                    rows.append((own[hit], slot[hit], np.full(len(hit), e), np.searchsorted(ends[s], slot[hit], side="right")))
+                    rows.append((own[hit], slot[hit], np.full(len(hit), e), np.searchsorted(ends[s], slot[hit], side="right"), slot[hit] == c - 1))
             if not rows:
                 continue
-            at, slot, repeat, shard = (np.concatenate(x) for x in zip(*rows, strict=True))
-            took = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), took.column(0), pa.array(slot), pa.array(repeat, pa.int32()), pa.array(block[at]), *(took.column(i) for i in (1, 2, 3))],
-                names=["shard", "source", "slot", "repeat", "block", "n_tokens", "tokens", "docs"],
-            )
+            at, slot, repeat, shard, last = (np.concatenate(x) for x in zip(*rows, strict=True))
+            for own in (np.flatnonzero(~last), *np.flatnonzero(last)[:, None]):  # a source's last block goes by itself, cut to the quota
+                took = b.take(pa.array(at[own]))
+                columns = [took.column(i) for i in (1, 2, 3)]
+                if len(own) == 1 and last[own[0]]:
+                    columns = _first_tokens(columns, cut[took.column(0)[0].as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[own], pa.int32()), took.column(0), pa.array(slot[own]), pa.array(repeat[own], pa.int32()), pa.array(block[at[own]]), *columns], names=names_out)
 
     return blocks.select("source", "n_tokens", "tokens", "docs", "part", "seq").mapInArrow(draw, schema)
 
 
+def _first_tokens(columns: list[pa.Array], n: int) -> list[pa.Array]:
+    """One block (n_tokens, tokens, docs) cut to its first n tokens."""
+    docs, left = [], n
+    for d in columns[2][0].as_py():
+        if left > 0:
+            docs.append(d | {"n": min(d["n"], left)})
+            left -= d["n"]
+    return [pa.array([n], pa.int32()), pa.array([columns[1][0].as_py()[:n]], columns[1].type), pa.array([docs], columns[2].type)]
+
+
 def reached_shares(drawn: DataFrame, weights: DataFrame) -> DataFrame:
-    """Of each listed source: target_share, scaled_share (of those that can be drawn from), reached_share, tokens, blocks, most_repeats."""
+    """Of each listed source: target_share, scaled_share (of those that can be drawn from), reached_share, deviation (of the one from the other), tokens, blocks, most_repeats."""
     weights = weights.select(plain_source(F.col("source")).alias("source"), "target_share").where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
     by = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("blocks"), (F.max("repeat") + 1).alias("most_repeats"))
     both = weights.join(by, "source", "left").fillna(0, ["tokens", "blocks", "most_repeats"])
     sums = both.agg(F.sum("tokens").alias("all_tokens"), F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).alias("all_shares"))
-    return both.crossJoin(F.broadcast(sums)).select(
-        "source",
-        "target_share",
-        F.when(F.col("tokens") > 0, F.col("target_share") / F.col("all_shares")).otherwise(F.lit(0.0)).alias("scaled_share"),
-        F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)).alias("reached_share"),
-        "tokens",
-        "blocks",
-        "most_repeats",
-    )
+    scaled = F.when(F.col("tokens") > 0, F.col("target_share") / F.col("all_shares")).otherwise(F.lit(0.0))
+    reached = F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0))
+    every = both.crossJoin(F.broadcast(sums))  # one row
+    return every.select("source", "target_share", scaled.alias("scaled_share"), reached.alias("reached_share"), (reached - scaled).alias("deviation"), "tokens", "blocks", "most_repeats")

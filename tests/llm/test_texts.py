@@ -204,10 +204,24 @@ def test_permutations_and_their_inverse(n):
 
 def test_quotas():
     weights = {"a": (0.5, 1), "b": (0.25, 4), "c": (0.25, 1), "none": (None, 3), "lost": (0.5, 2), "nil": (0.0, 2), "never": (0.3, 0)}
-    blocks = {"a": 100, "b": 20, "c": 80, "none": 7, "nil": 3, "never": 9}
-    assert mixing.quotas(blocks, weights) == {"a": 100, "b": 50, "c": 50}
-    assert mixing.quotas(blocks, weights, total=40) == {"a": 20, "b": 10, "c": 10}
-    assert mixing.quotas({}, weights) == {} and sum(mixing.quotas(blocks, weights, total=7).values()) == 7
+    tokens = {"a": 100, "b": 20, "c": 80, "none": 7, "nil": 3, "never": 9}
+    assert mixing.quotas(tokens, weights) == {"a": 100, "b": 50, "c": 50}
+    assert mixing.quotas(tokens, weights, total=40) == {"a": 20, "b": 10, "c": 10}
+    assert mixing.quotas({}, weights) == {} and mixing.quotas(tokens, weights, total=8) == {"a": 4, "b": 2, "c": 2}
+    assert mixing.quotas({"a": 10**6, "b": 3}, {"a": (0.999999, 1), "b": (1e-9, 1)})["b"] == 1
+
+
+@pytest.mark.parametrize(("blocks", "short"), [(1, (0, 3)), (1, None), (5, (0, 1)), (5, (4, 9)), (7, (3, 5)), (6, None)])
+def test_the_last_slot_gives_exactly_the_quota(blocks, short):
+    size = 10
+    sizes = [size] * blocks
+    if short:
+        sizes[short[0]] = short[1]
+    place = lambda e, i: int(mixing.permuted(np.array([i]), blocks, e, inverse=True)[0])
+    for quota in range(1, 3 * sum(sizes) + 1):
+        slots, cut = mixing.last_slot(quota, blocks, sum(sizes), size, short, place)
+        drawn = [sizes[int(mixing.permuted(np.array([k % blocks]), blocks, k // blocks)[0])] for k in range(slots)]
+        assert sum(drawn[:-1]) + cut == quota and 0 < cut <= drawn[-1]
 
 
 def test_shards_meet_the_quotas():
@@ -236,20 +250,28 @@ def test_mixture(spark):
     shares = {r.source: r for r in mixing.reached_shares(drawn, weights).collect()}
     assert shares["lost"].tokens == shares["nothing"].tokens == 0
     for s, p in (("big", 0.5), ("small", 0.3), ("tiny_one", 0.2)):
-        assert shares[s].scaled_share == pytest.approx(p) and shares[s].reached_share == pytest.approx(p, abs=0.03)
+        assert shares[s].scaled_share == pytest.approx(p) and shares[s].reached_share == pytest.approx(p, abs=1e-3) and abs(shares[s].deviation) < 1e-3
     assert max(shares[s].most_repeats / m for s, m in (("big", 2), ("small", 5), ("tiny_one", 3))) == 1
-    tokenizer = mixing.load_tokenizer(mixing.VOCABULARY)
+    tokenizer = mixing.load_tokenizer(mixing.VOCABULARY, mixing.published_pattern())
     texts = {r[0]: r[1] for r in rows}
     r = got[0]
     assert list(r.tokens) == [t for d in r.docs for t in tokenizer.encode_ordinary(texts[d.doc_id])[d.start : d.start + d.n]]
 
 
+@needs_vocabulary
+def test_sources_smaller_than_a_block_get_their_share(spark):
+    rows = [(k, "alpha beta gamma " * 40, None, "big") for k in range(300)] + [(900, "one two three", None, "small"), (901, "four", None, "least")]
+    weights = spark.createDataFrame([("big", 0.98, 1), ("small", 0.0004, 2), ("least", 0.0001, 9)], "source string, target_share double, max_repeats int")
+    shares = {r.source: r for r in mixing.reached_shares(mixing.mixture(docs(spark, rows), weights), weights).collect()}
+    assert all(shares[s].tokens > 0 and abs(shares[s].deviation) < 1e-4 for s in ("big", "small", "least"))
+
+
 @needs_vocabulary
 def test_blocks_hold_every_token_once(spark):
     rows = [(k, "word " * (k % 37), None, "ab"[k % 2]) for k in range(200)] + [(999, "long text " * 20_000, None, "a")]
     weights = spark.createDataFrame([("a",), ("b",)], "source string")
     got = mixing.token_blocks(docs(spark, rows).repartition(6), weights, block_tokens=64).collect()
-    tokenizer = mixing.load_tokenizer(mixing.VOCABULARY)
+    tokenizer = mixing.load_tokenizer(mixing.VOCABULARY, mixing.published_pattern())
     held = {}
     for r in got:
         at = 0
