@@ -10,12 +10,12 @@ repetition; pairs that reach `least` (0.7) are found, wherever the words stand.
   would make posting lists of 1/256 of all records; eight are tested at once and tell the same.
 * Guarantee: bags of a and b tokens that reach the threshold differ in at most D = (a+b)(1-least)/(1+least) tokens,
   each of which changes one position. So all but D of a bag's positions are equal in both.
-* Index: positions are ordered by the rarity of their content (from token counts in a table of fixed size); two bags
-  that agree on all but D positions agree on one of the D+1 rarest of each, so only these are posted. A
-  position with a token that no other record has is counted but not posted.
-* Count filter: for every posting met by two records, a second digest of single bits is compared. Each differing token
-  flips one bit, so bags within the threshold differ in at most D bits; of the others next to none pass. Pairs and
-  their shared positions are tallied, and a pair needs at least one within the guaranteed prefix of both.
+* Index: positions are ordered by the rarity of their content (from token counts in a table of fixed size). Two bags
+  that agree on all but D positions share the `SHARED` first of their common positions within the D+`SHARED` rarest of each, so only
+  these are posted. A position with a token that no other record has is counted but not posted.
+* Bits: for every posting met by two records, a second digest of single bits is compared. Each differing token
+  flips one bit, so bags within the threshold differ in at most D bits; of the others next to none pass.
+* Count filter: shared positions are tallied per pair, and a pair needs the guaranteed minimum of `SHARED` (of very small bags, all positions but D).
 * Verification: the common tokens are counted exactly (as 64-bit hashes of word and occurrence).
 
 Posting lists that may hold more than `hot` records (known from the token counts) are cut into chunks, and each
@@ -43,6 +43,8 @@ LEAST = (7, 10)
 BINS = 1 << 21
 HOT, CHUNK = 4096, 2048
 SMALL = 64
+SHARED = 3
+_LOW = (1 << 32) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ class Digests:
         return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
 
     def postings(self, t: np.ndarray, owner: np.ndarray, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(bag, content hash, rank by rarity, most records that may have it) of the posted positions in each bag's class c."""
+        """(bag, content hash, rank by rarity, most records that may have it) of the posted positions in each bag's class c, and each bag's number of positions."""
         upper = self.upper(c)
         places = np.where(upper < SMALL, 1 << 32, 2 * np.ceil(upper).astype(np.int64)).astype(np.uint64)
         mine = c.astype(np.uint64)
@@ -114,8 +116,8 @@ class Digests:
         order = np.lexsort((content, -width, rare, bag))
         bag, content, rare = bag[order], content[order], rare[order]
         rank = np.arange(len(bag)) - np.searchsorted(bag, bag)
-        keep = (rank <= self.most_different(n, n * self.den // self.num)[bag]) & (rare > 1)
-        return bag[keep], content[keep].view(np.int64), rank[keep], rare[keep]
+        keep = (rank < self.most_different(n, n * self.den // self.num)[bag] + SHARED) & (rare > 1)
+        return bag[keep], content[keep].view(np.int64), rank[keep], rare[keep], np.bincount(bag, minlength=len(n))
 
 
 def bags(records: DataFrame, unit_of: dict[str, str]) -> DataFrame:
@@ -149,11 +151,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], d: Digests) -> Iterator[pa.RecordB
 
 
 def _complete(b: pa.RecordBatch, d: Digests) -> Iterator[pa.RecordBatch]:
-    key, number, n, rank, c, own, chunk, cross = (b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "number", "n", "rank", "c", "own", "chunk", "cross"))
-    n = n.astype(np.int64)
-    bits, field = b.column("bits"), b.column("field")
+    key, number, sizes, places, cell = (b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "number", "sizes", "places", "cell"))
+    n, rank, held, own, field = sizes >> 32, sizes & _LOW, places >> 32, (places & 1).astype(bool), places >> 1 & 255
+    bits = b.column("bits")
     offsets, raw = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1], np.frombuffer(bits.buffers()[2] or b"", np.uint8)
-    got_a, got_b = [], []
+    got_a, got_b, got_need = [], [], []
     at, step = np.arange(len(key) - 1), 1
     while len(at):
         at = at[at + step < len(key)]
@@ -162,7 +164,7 @@ def _complete(b: pa.RecordBatch, d: Digests) -> Iterator[pa.RecordBatch]:
             break
         i, j = at, at + step
         most = d.most_different(n[i], n[j])
-        ok = (number[i] != number[j]) & (rank[i] <= most) & (rank[j] <= most) & (own[i] | own[j]) & (np.minimum(n[i], n[j]) * d.den >= np.maximum(n[i], n[j]) * d.num) & (~cross[i] | (chunk[i] != chunk[j]))
+        ok = (number[i] != number[j]) & (rank[i] < most + SHARED) & (rank[j] < most + SHARED) & (own[i] | own[j]) & (np.minimum(n[i], n[j]) * d.den >= np.maximum(n[i], n[j]) * d.num) & ((cell[i] & 1 == 0) | (cell[i] != cell[j]))
         i, j, most = i[ok], j[ok], most[ok]
         for s in range(0, len(i), 1 << 15):
             x, y, m = i[s : s + (1 << 15)], j[s : s + (1 << 15)], most[s : s + (1 << 15)]
@@ -171,14 +173,15 @@ def _complete(b: pa.RecordBatch, d: Digests) -> Iterator[pa.RecordBatch]:
                 own_w = np.flatnonzero(width == w)
                 grid = np.arange(w)
                 differ = raw[offsets[x[own_w]][:, None] + grid] ^ raw[offsets[y[own_w]][:, None] + grid]
-                near = np.bitwise_count(differ.view(np.uint64)).sum(axis=1) <= m[own_w]
-                got_a.append(x[own_w[near]])
-                got_b.append(y[own_w[near]])
+                near = own_w[np.bitwise_count(differ.view(np.uint64)).sum(axis=1) <= m[own_w]]
+                got_a.append(x[near])
+                got_b.append(y[near])
+                got_need.append(np.clip(np.maximum(held[x[near]], held[y[near]]) - m[near], 1, SHARED))
         step += 1
     if got_a:
         x, y = np.concatenate(got_a), np.concatenate(got_b)
         lo, hi = np.minimum(number[x], number[y]), np.maximum(number[x], number[y])
-        yield pa.RecordBatch.from_arrays([field.take(pa.array(x)), pa.array(lo), pa.array(hi)], names=["field", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(field[x], pa.int32()), pa.array(lo), pa.array(hi), pa.array(np.concatenate(got_need), pa.int32())], names=["f", "a", "b", "need"])
 
 
 def similar_pairs(records: DataFrame, unit_of: dict[str, str], least: tuple[int, int] = LEAST, hot: int = HOT, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -188,16 +191,20 @@ def similar_pairs(records: DataFrame, unit_of: dict[str, str], least: tuple[int,
     """
     spark = records.sparkSession
     ship_package(spark)
-    every = materialise(bags(records, unit_of), "p6-bags")
-    classes = every.groupBy("field", "bag").agg(F.min("number").alias("rep"))
-    members = materialise(every.join(classes, ["field", "bag"]).select("field", "rep", "number").distinct(), "p6-members")
-    reps = materialise(every.join(members.where("rep = number"), ["field", "number"]).groupBy("field", "number").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "p6-reps")
+    every = materialise(bags(records, unit_of).withColumn("row", F.monotonically_increasing_id()), "p6-bags")
+    classes = every.groupBy("field", "bag").agg(F.min(F.struct("number", "row")).alias("r"))
+    members = materialise(every.join(classes, ["field", "bag"]).select("field", F.col("r.number").alias("rep"), "number").distinct(), "p6-members")
+    # one row of each representative: only row numbers are grouped, the tokens are moved once at most
+    chosen = classes.groupBy("field", "r.number").agg(F.min("r.row").alias("row")).select("row")
+    reps = materialise(every.join(chosen, "row", "left_semi").select("field", "number", "n", "tokens"), "p6-reps")
     discard(every)
     bins = reps.select(F.explode("tokens").alias("t")).groupBy(F.expr(f"t & {BINS - 1}").cast("int").alias("bin")).count().where("count > 1").toPandas()  # at most BINS rows
     counts = np.ones(BINS, np.int32)
     counts[bins["bin"].to_numpy()] = np.minimum(bins["count"].to_numpy(), 2**31 - 1)
     shared = spark.sparkContext.broadcast(Digests(counts, least))
-    schema = "key long, field string, number long, n int, rank int, c int, own boolean, chunk int, cross boolean, bits binary"
+    fields = sorted(unit_of)
+    # sizes: tokens and rank; places: positions, field and whether the class is the record's own; cell: chunk and whether the group is of two chunks
+    schema = "key long, number long, sizes long, places long, cell int, bits binary"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = shared.value
@@ -207,10 +214,12 @@ def similar_pairs(records: DataFrame, unit_of: dict[str, str], least: tuple[int,
                 number, n = b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
                 t = b.column(3).flatten().to_numpy().view(np.uint64)
                 owner = np.repeat(np.arange(len(n)), n)
-                salt = np.array([xxhash.xxh3_64_intdigest(f) >> 1 for f in b.column(0).to_pylist()], np.int64)
+                names = b.column(0).to_pylist()
+                salt = np.array([xxhash.xxh3_64_intdigest(f) >> 1 for f in names], np.int64)
+                number_of_field = np.array([fields.index(f) for f in names], np.int64)
                 own = d.size_class(n)
                 for c in (own, own + 1):
-                    bag, key, rank, most = d.postings(t, owner, n, c)
+                    bag, key, rank, most, held = d.postings(t, owner, n, c)
                     key = key ^ salt[bag]
                     parts = np.where(most > hot, -(-most // chunk), 1)
                     mine = (_mix(number[bag].view(np.uint64)) >> np.uint64(34)).astype(np.int64) % parts
@@ -221,15 +230,17 @@ def similar_pairs(records: DataFrame, unit_of: dict[str, str], least: tuple[int,
                         first, second = np.minimum(mine[at], other), np.maximum(mine[at], other)
                         salted = _mix(key[at].view(np.uint64) + first.astype(np.uint64) * np.uint64(1_000_003) + second.astype(np.uint64)).view(np.int64)
                         bag, key, rank, mine, cross = bag[at], np.where(parts[at] > 1, salted, key[at]), rank[at], mine[at], first != second
-                    took = pa.array(bag)
+                    places = held << 32 | number_of_field << 1 | (c == own)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), b.column(0).take(took), b.column(1).take(took), b.column(2).take(took), pa.array(rank, pa.int32()), pa.array(c[bag], pa.int32()), pa.array((c == own)[bag]), pa.array(mine, pa.int32()), pa.array(cross), d.bits(t, owner, c).take(took)],
-                        names=["key", "field", "number", "n", "rank", "c", "own", "chunk", "cross", "bits"],
+                        [pa.array(key), pa.array(number[bag]), pa.array(n[bag] << 32 | rank), pa.array(places[bag]), pa.array(mine * 2 + cross, pa.int32()), d.bits(t, owner, c).take(pa.array(bag))],
+                        names=["key", "number", "sizes", "places", "cell", "bits"],
                     )
 
     posted = reps.select("field", "number", "n", "tokens").mapInArrow(post, schema)
-    met = posted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, shared.value), "field string, a long, b long")
-    tally = materialise(met.groupBy("field", "a", "b").agg(F.count("*").alias("shared")).where("shared >= 1"), "p6-tally")
+    met = posted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, shared.value), "f int, a long, b long, need int")
+    tally = met.groupBy("f", "a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    named = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("f") + 1)
+    tally = materialise(tally.select(named.alias("field"), "a", "b"), "p6-tally")
     left, right = (reps.select("field", F.col("number").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     both = tally.join(left, ["field", "a"]).join(right, ["field", "b"])
     common = both.select("field", "a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"), (F.size("tokens_a") + F.size("tokens_b")).alias("sum"))

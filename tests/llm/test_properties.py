@@ -59,7 +59,7 @@ def test_differing_tokens_change_so_many_positions_and_bits(words, added, data):
     flat, owner = np.concatenate(tokens).view(np.uint64), np.repeat([0, 1], n)
     bits = [np.frombuffer(b, np.uint8) for b in d.bits(flat, owner, c).to_pylist()]
     assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= differ
-    bag, content, _, _ = d.postings(flat, owner, n * 1000, c)  # all positions
+    bag, content, _, _, _ = d.postings(flat, owner, n * 1000, c)  # all positions
     a, b = (set(content[bag == i].tolist()) for i in (0, 1))
     assert len(a - b) <= differ and len(b - a) <= differ
 
