@@ -132,7 +132,7 @@ def p1_shared(spark: SparkSession, sf: str) -> DataFrame:
     every = sizes.join(by.agg(F.sum(fresh).alias("shared")), ["field", "number"], "left")
     shared = F.coalesce("shared", F.lit(0))
     share = F.when(F.col("total") > 0, shared / F.col("total")).otherwise(F.lit(0.0))
-    return every.select(F.col("field").alias("field_name"), "number", shared.alias("shared"), "total", share.alias("share"))
+    return every.select(F.col("field").alias("field_name"), "number", shared.cast("long").alias("shared"), "total", share.alias("share"))
 
 
 BAG_UNITS = {"unvocalized": "space", "forms": "token"}
@@ -277,6 +277,16 @@ lg as (select distinct number, w[i:i + 11] as g from (select number, w, unnest(r
 select distinct 'unvocalized' as field_name, a.number as number_a, b.number as number_b from ug a join ug b on a.g = b.g and a.number < b.number
 union all select distinct 'lexemes', a.number, b.number from lg a join lg b on a.g = b.g and a.number < b.number
 """
+ORACLE_SQL["p1_shared"] = """
+with u as (select 'unvocalized' as field_name, number, max(array_to_string(list_filter(half_verses_unvocalized, lambda x: x is not null), ' ')) as t from psalm where number is not null group by number),
+l as (select 'lexemes' as field_name, number, max(list_filter(flatten(list_filter(half_verse_lexemes, lambda x: x is not null)), lambda x: x is not null)) as w from lexical_psalm where number is not null group by number),
+s as (select field_name, number, cast(coalesce(length(t), 0) as bigint) as total from u union all select field_name, number, cast(coalesce(len(w), 0) as bigint) from l),
+g as (select field_name, number, i, 60 as run, substring(t, cast(i as bigint), 60) as g from (select field_name, number, t, unnest(range(1, length(t) - 58)) as i from u where length(t) >= 60)
+ union all select field_name, number, i, 12, array_to_string(list_transform(w[i:i + 11], lambda x: replace(replace(x, '~', '~0'), '|', '~1')), '|') from (select field_name, number, w, unnest(range(1, len(w) - 10)) as i from l where len(w) >= 12)),
+k as (select field_name, g from g group by field_name, g having min(number) < max(number)),
+c as (select field_name, number, sum(least(run, coalesce(n - i, run))) as shared from (select field_name, number, i, run, lead(i) over (partition by field_name, number order by i) as n from g join k using (field_name, g)) group by field_name, number)
+select field_name, number, cast(coalesce(shared, 0) as bigint) as shared, total, case when total > 0 then coalesce(shared, 0) / total else CAST(0 AS DOUBLE) end as share from s left join c using (field_name, number)
+"""
 ORACLE_SQL["p5_found"] = """
 with v as (select node_id, min(vector) as v from part_0 where node_id is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by node_id),
 q as (select distinct node_id from probe_node where task = 'neighbours'),

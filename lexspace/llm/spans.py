@@ -8,11 +8,13 @@ A record is a sequence of symbols: the code points of a text or the tokens of a
 * A suffix whose k-gram stands in one record only can't lie in a shared span; it is dropped by an aggregate
   of hashes, before any text is moved.
 * Vertical partitioning: suffixes are split by prefixes; a prefix with more than `group_suffixes` suffixes is
-  lengthened until its groups fit, at most to k symbols. Suffixes of one k-gram that are still too many are cut into
-  chunks, and each pair of chunks is a group of its own, so no group grows with the data.
-* In each group the sorted suffixes and their common prefix lengths are the subtree of that prefix. Its internal
-  nodes of depth k or more hold the candidates; two suffixes share a span if the depth of their lowest
-  common node and the common length to the left (from the tree of the reversed left sides) reach `run`.
+  lengthened until its groups fit, at most to k symbols.
+* In each group the sorted suffixes and the common lengths of neighbours are the subtree of that prefix, the sorted reversed left sides that
+  of what stands before. Its deep nodes, of depth k or more, hold the candidates: for every offset o the rows that lie below one node of depth
+  run - o on the right and below one of depth o on the left have an equal span there. Depths come from neighbours in sorted order, so a node of n
+  suffixes costs n log n for each offset; only small nodes compare their pairs, and pairs are made only of records that do share a span.
+* The suffixes of a k-gram that stands more than `hot` times aren't gathered: their spans (a digest of 128 bits for each offset) are aggregated by the
+  engine, so a refrain in a third of all records is a few rows for each of them. Of spans with the same records one makes the pairs, in parts of `chunk` records.
 
 Contexts of `run` symbols on each side are enough: shared anchors of one span lie at most run-k+1 apart, so the
 pieces seen from them cover the whole span, whatever its length.
@@ -39,7 +41,7 @@ from lexspace.storage import materialise, ship_package
 
 END = "\x1f"
 GROUP_SUFFIXES = 50_000
-CHUNK = 1000
+HOT, CHUNK, SMALL = 2000, 1000, 64
 HELD_ROWS = 1_000_000
 
 
@@ -80,20 +82,27 @@ def _split(body: str, unit: str) -> str | list[str]:
 
 
 def _common(a: str | list[str], b: str | list[str], most: int) -> int:
-    n = min(len(a), len(b), most)
-    for i in range(n):
-        if a[i] != b[i]:
-            return i
-    return n
-
-
-def _depths(sides: list, run: int) -> np.ndarray:
-    """Common prefix length of each pair of sequences, from the sorted ones' neighbours (the tree's lowest common nodes)."""
-    n = len(sides)
-    order = sorted(range(n), key=sides.__getitem__)
-    lcp = np.array([_common(sides[a], sides[b], run) for a, b in itertools.pairwise(order)], np.int16)
+    """Length of the common beginning, at most `most`."""
+    lo, hi = 0, min(len(a), len(b), most)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _tree(sides: list, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of some sequences and the common length of each with the next: the depths of the tree's internal nodes."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    return np.array(order), np.array([_common(sides[a], sides[b], run) for a, b in itertools.pairwise(order)], np.int16)
+
+
+def _depths(order: np.ndarray, lcp: np.ndarray, run: int) -> np.ndarray:
+    """Depth of the lowest common node of each pair."""
+    n = len(order)
     out = np.full((n, n), run, np.int16)
-    order = np.array(order)
     for i in range(n - 1):
         row = np.minimum.accumulate(lcp[i:])
         out[order[i], order[i + 1 :]] = row
@@ -101,18 +110,83 @@ def _depths(sides: list, run: int) -> np.ndarray:
     return out
 
 
-def _node(node: list[tuple], run: int, cell: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """Pairs (i, j, left, right) of rows of a deep node (number, pos, chunk, left, right) that share a span."""
-    number, chunk = np.array([r[0] for r in node]), np.array([r[2] for r in node])
-    ok = number[:, None] != number[None, :]
-    if cell[0] != cell[1]:
-        ok &= chunk[:, None] != chunk[None, :]
-    right, left = _depths([r[4] for r in node], run), _depths([r[3] for r in node], run)
-    i, j = np.nonzero(np.triu(ok & (right + left >= run), 1))
-    return i, j, left[i, j], right[i, j]
-
-
-def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bool = True, group_suffixes: int = GROUP_SUFFIXES, chunk: int = CHUNK) -> DataFrame:
+class Node:
+    """The suffixes (number, pos, left, right) below a node of depth run/2."""
+
+    def __init__(self, rows: list[tuple], run: int, small: int = SMALL):
+        self.run, self.small = run, small
+        self.number, self.pos = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        self.right, self.left = _tree([r[3] for r in rows], run), _tree([r[2] for r in rows], run)
+        self.most_right, self.most_left = int(self.right[1].max()), int(self.left[1].max())
+        self.reach = np.array([len(r[2]) for r in rows]), np.array([len(r[3]) for r in rows])
+
+    def deep_pairs(self) -> tuple[np.ndarray, ...]:
+        """(i, j, left, right) of the pairs of rows that share a span."""
+        right, left = _depths(*self.right, self.run), _depths(*self.left, self.run)
+        i, j = np.nonzero(np.triu((self.number[:, None] != self.number[None, :]) & (right + left >= self.run), 1))
+        return i, j, left[i, j], right[i, j]
+
+    def classes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(offset, rows, first of each class among them): rows with an equal span at the offset, in classes of two records or more."""
+        n = len(self.number)
+        for o in range(max(0, self.run - self.most_right), min(self.run - self.run // 2, self.most_left) + 1):
+            label = np.zeros(n, np.int64)
+            for (order, lcp), depth in ((self.right, self.run - o), (self.left, o)):
+                at = np.empty(n, np.int64)
+                at[order] = np.cumsum(np.r_[0, lcp < depth])
+                label = label * n + at
+            own = np.flatnonzero((self.reach[0] >= o) & (self.reach[1] >= self.run - o))
+            own = own[np.lexsort((self.number[own], label[own]))]
+            if not len(own):
+                continue
+            first = np.flatnonzero(np.r_[True, label[own][1:] != label[own][:-1]])
+            last = np.r_[first[1:], len(own)] - 1
+            many = self.number[own[first]] != self.number[own[last]]
+            if many.any():
+                size = (last - first + 1)[many]
+                rows = np.concatenate([own[a : b + 1] for a, b in zip(first[many], last[many], strict=True)])
+                yield o, rows, np.cumsum(size) - size
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        """Pairs of numbers (smaller, larger), in bounded arrays; a pair may come repeatedly."""
+        if self.most_right + self.most_left < self.run:
+            return
+        if len(self.number) <= self.small:
+            i, j, _, _ = self.deep_pairs()
+            yield np.stack([np.minimum(self.number[i], self.number[j]), np.maximum(self.number[i], self.number[j])], axis=1)
+            return
+        seen: set[bytes] = set()
+        for _, rows, first in self.classes():
+            for own in np.split(rows, first[1:]):
+                numbers = np.unique(self.number[own])
+                if (name := xxhash.xxh3_128_digest(numbers.tobytes())) in seen:
+                    continue
+                seen.add(name)
+                step = max(1, HELD_ROWS // len(numbers))
+                for lo in range(0, len(numbers), step):
+                    a, b = np.nonzero(numbers[lo : lo + step, None] < numbers[None, :])
+                    yield np.stack([numbers[lo + a], numbers[b]], axis=1)
+
+    def pieces(self) -> np.ndarray:
+        """(number, start, stop) of the widest shared piece around each suffix."""
+        n = len(self.number)
+        if self.most_right + self.most_left < self.run:
+            return np.zeros((0, 3), np.int64)
+        left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if n <= self.small:
+            i, j, l, r = self.deep_pairs()
+            for x in (i, j):
+                np.maximum.at(left, x, l)
+                np.maximum.at(right, x, r)
+        else:
+            for o, rows, _ in self.classes():
+                left[rows] = np.maximum(left[rows], o)
+                right[rows] = np.maximum(right[rows], self.run - o)
+        x = np.flatnonzero(left + right)
+        return np.stack([self.number[x], self.pos[x] - left[x], self.pos[x] + right[x]], axis=1)
+
+
+def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bool = True, group_suffixes: int = GROUP_SUFFIXES, hot: int = HOT, chunk: int = CHUNK, small: int = SMALL) -> DataFrame:
     """Of records (field string, number long, body string): with `pairs` (field, number_a, number_b), else (field, number, start, stop).
 
     runs: field -> ("char" or "token", least length); the latter rows are pieces of shared spans, in symbols.
@@ -142,45 +216,33 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
                 unit, run = runs[field]
                 seq = _split(body, unit)
                 for place in at:
-                    pos, n = int(place["pos"]), int(place["n"])
+                    pos = int(place["pos"])
+                    if place["n"] > hot:
+                        out.append((field, number, pos, True, None, None))
+                        continue
                     right, left = seq[pos : pos + run], seq[max(0, pos - run) : pos][::-1]
                     if unit == "token":
                         right, left = "".join(t + END for t in right), "".join(t + END for t in left)
-                    out.append((field, number, pos, n, left, right))
-            yield pd.DataFrame(out, columns=["field", "number", "pos", "n", "left", "right"])
+                    out.append((field, number, pos, False, left, right))
+            yield pd.DataFrame(out, columns=["field", "number", "pos", "hot", "left", "right"])
 
-    suffixes = joined.mapInPandas(cut, "field string, number long, pos int, n long, left string, right string")
+    suffixes = joined.mapInPandas(cut, "field string, number long, pos int, hot boolean, left string, right string")
     suffixes = materialise(suffixes, "p1-suffixes")
-    keyed = _with_prefix(suffixes, runs, group_suffixes)
-    # chunks of one k-gram's suffixes: every pair of chunks is a group
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    keyed = keyed.withColumn("chunk", F.when(F.col("n") > 2 * chunk, F.pmod(F.xxhash64("number", "pos"), chunks).cast("int")).otherwise(F.lit(0)))
-    others = F.when(F.col("n") > 2 * chunk, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
-    keyed = keyed.withColumn("other", F.explode(others)).withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other")).drop("other", "n")
-    parts = keyed.repartition(F.col("field"), F.col("prefix"), F.col("ci"), F.col("cj")).sortWithinPartitions("field", "ci", "cj", "right", "number", "pos")
+    keyed = _with_prefix(suffixes.where("not hot").drop("hot"), runs, group_suffixes)
+    parts = keyed.repartition("field", "prefix").sortWithinPartitions("field", "right", "number", "pos")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["number_a", "number_b"] if pairs else ["number", "start", "stop"]
         node: list[tuple] = []
-        key, held = None, {field: [np.zeros((0, len(columns)), np.int64)] for field in runs}
+        own, held = None, {field: [np.zeros((0, len(columns)), np.int64)] for field in runs}
 
         def close() -> Iterator[pd.DataFrame]:
-            if len(node) > 1:
-                field, ci, cj = key
-                i, j, left, right = _node(node, runs[field][1], (ci, cj))
-                number, pos = np.array([r[0] for r in node]), np.array([r[1] for r in node])
-                if pairs:
-                    new = np.stack([np.minimum(number[i], number[j]), np.maximum(number[i], number[j])], axis=1)
-                else:
-                    most = np.zeros((2, len(node)), np.int64)
-                    for x in (i, j):
-                        np.maximum.at(most[0], x, left)
-                        np.maximum.at(most[1], x, right)
-                    x = np.flatnonzero(most.any(axis=0))
-                    new = np.stack([number[x], pos[x] - most[0, x], pos[x] + most[1, x]], axis=1)
-                held[field].append(new)
-                if sum(map(len, held[field])) > HELD_ROWS:
-                    yield flush(field)
+            if len(node) > 1 and any(r[0] != node[0][0] for r in node):
+                deep = Node(node, runs[own][1], small)
+                for new in deep.pairs() if pairs else [deep.pieces()]:
+                    held[own].append(new)
+                    if sum(map(len, held[own])) > HELD_ROWS:
+                        yield flush(own)
             node.clear()
 
         def flush(field: str) -> pd.DataFrame:
@@ -190,21 +252,25 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
             return frame
 
         for f in frames:
-            for field, number, pos, left, right, ci, cj, at in zip(f["field"], f["number"], f["pos"], f["left"], f["right"], f["ci"], f["cj"], f["chunk"], strict=True):
+            for field, number, pos, left, right in zip(f["field"], f["number"], f["pos"], f["left"], f["right"], strict=True):
                 unit, run = runs[field]
-                row = (number, pos, at, _split(left, unit), _split(right, unit))
-                if key != (field, ci, cj) or not node or _common(node[-1][4], row[4], run) < run // 2:
+                row = (number, pos, _split(left, unit), _split(right, unit))
+                if field != own or not node or _common(node[-1][3], row[3], run // 2) < run // 2:
                     yield from close()
-                    key = (field, ci, cj)
+                    own = field
                 node.append(row)
         yield from close()
         for field in runs:
             yield flush(field)
 
+    schema = "field string, number_a long, number_b long" if pairs else "field string, number long, start int, stop int"
+    found = parts.mapInPandas(walk, schema)
+    crowded = suffixes.where("hot").select("field", "number", "pos")
+    if not crowded.isEmpty():
+        found = found.unionByName(_crowded(records, crowded, runs, pairs, chunk))
+    found = found.distinct()
     if pairs:
-        found = parts.mapInPandas(walk, "field string, number_a long, number_b long").distinct()
         return _with_copied_pairs(found, members) if copied else found
-    found = parts.mapInPandas(walk, "field string, number long, start int, stop int").distinct()
     if not copied:
         return found
     own = found.withColumnRenamed("number", "rep").join(members.select("field", "rep", "number"), ["field", "rep"]).select("field", "number", "start", "stop")
@@ -213,6 +279,40 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
     return own.unionByName(alone).unionByName(whole).distinct()
 
 
+def _crowded(records: DataFrame, crowded: DataFrame, runs: dict[str, tuple[str, int]], pairs: bool, chunk: int) -> DataFrame:
+    """Shared spans around the suffixes (field, number, pos) of k-grams that stand very often: every span that holds such a k-gram, by its digest."""
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for field, number, body, at in zip(f["field"], f["number"], f["body"], f["at"], strict=True):
+                unit, run = runs[field]
+                seq = _split(body, unit)
+                starts = {p - o for p in at for o in range(run - run // 2 + 1) if 0 <= p - o <= len(seq) - run}
+                for start in starts:
+                    part = seq[start : start + run]
+                    out.append((field, number, start, xxhash.xxh3_128_digest(part if unit == "char" else END.join(part))))
+            yield pd.DataFrame(out, columns=["field", "number", "start", "span"])
+
+    places = crowded.groupBy("field", "number").agg(F.collect_set("pos").alias("at"))
+    spans = materialise(records.join(places, ["field", "number"]).mapInPandas(digests, "field string, number long, start int, span binary"), "p1-crowded")
+    # one row of each span and record, so that equal records have equal sums; added up before the shuffle
+    once = spans.select("field", "span", "number").distinct() if pairs else spans
+    by = once.groupBy("field", "span").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("number").cast("decimal(38,0)")).alias("records")).where("lo < hi")
+    if not pairs:
+        own = spans.join(by.select("field", "span"), ["field", "span"])
+        size = F.element_at(F.create_map(*[F.lit(x) for f, (_, run) in runs.items() for x in (f, run)]), F.col("field"))
+        return own.select("field", "number", "start", (F.col("start") + size).alias("stop"))
+    one = by.groupBy("field", "lo", "hi", "n", "records").agg(F.min("span").alias("span")).select("field", "span", "n")
+    own = once.join(one, ["field", "span"])
+    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
+    own = own.withColumn("part", F.pmod(F.xxhash64("number", F.lit(1)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = own.withColumn("ci", F.least("part", "other")).withColumn("cj", F.greatest("part", "other")).drop("other", "n")
+    a, b = (cells.select("field", "span", "ci", "cj", F.col("part").alias(f"part_{x}"), F.col("number").alias(f"number_{x}")) for x in "ab")
+    both = a.join(b, ["field", "span", "ci", "cj"]).where("number_a < number_b and (ci = cj or part_a <> part_b)")
+    return both.select("field", "number_a", "number_b").distinct()
+
+
 def _copies(records: DataFrame, runs: dict[str, tuple[str, int]]) -> DataFrame:
     """(field, rep, number, symbols) of the records, long enough for a span, whose body other keys have too; rep is the least of them."""
     size = F.lit(None).cast("int")

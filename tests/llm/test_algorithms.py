@@ -45,7 +45,7 @@ def covered_by(rows):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"group_suffixes": 3, "chunk": 2}])
+@pytest.mark.parametrize("options", [{}, {"group_suffixes": 3, "small": 0}, {"hot": 1, "chunk": 2}, {"hot": 3, "small": 2}])
 def test_shared_spans_of_characters(spark, options):
     rng = random.Random(3)
     shared = ["".join(rng.choice("abc ") for _ in range(n)) for n in (59, 60, 61, 130, 400)]
@@ -64,26 +64,30 @@ def test_shared_spans_of_characters(spark, options):
     assert covered_by(spans.shared_spans(bodies(spark, rows), runs, pairs=False, **options).collect()) == covered
 
 
-def test_shared_spans_of_tokens(spark):
+@pytest.mark.parametrize("options", [{}, {"small": 0}, {"hot": 1, "chunk": 1}])
+def test_shared_spans_of_tokens(spark, options):
     rng = random.Random(4)
     vocab = ["a", "b", "ab", "", "\x1f", "\x1e", "\x1e1", "ב"]
     base = [rng.choice(vocab) for _ in range(40)]
     lists = {k: [rng.choice(vocab) for _ in range(30)] + (base[: 8 + k] if k % 2 else []) for k in range(12)}
     df = spark.createDataFrame([(k, [*v, None]) for k, v in lists.items()] + [(99, None), (98, [])], "number long, w array<string>")
     rows = df.select(F.lit("t").alias("field"), "number", spans.token_body(F.col("w")).alias("body"))
-    got = {(r.number_a, r.number_b) for r in spans.shared_spans(rows, {"t": ("token", 12)}).collect()}
-    assert got == brute_spans(list(lists.items()), 12, list)[0] and got
+    got = {(r.number_a, r.number_b) for r in spans.shared_spans(rows, {"t": ("token", 12)}, **options).collect()}
+    pairs, covered = brute_spans(list(lists.items()), 12, list)
+    assert got == pairs and got
+    assert covered_by(spans.shared_spans(rows, {"t": ("token", 12)}, pairs=False, **options).collect()) == covered
 
 
 def test_spans_of_an_empty_table(spark):
     assert spans.shared_spans(bodies(spark, [(1, "a")]).limit(0), {"f": ("char", 60)}).count() == 0
 
 
-def test_a_refrain_in_a_third_of_all_records(spark):
+@pytest.mark.parametrize("options", [{}, {"small": 8}, {"hot": 20, "chunk": 15}])
+def test_a_refrain_in_a_third_of_all_records(spark, options):
     rng = random.Random(5)
     refrain = "".join(rng.choice("abcdefgh") for _ in range(90))
     rows = [(k, "".join(rng.choice("ijklmnop") for _ in range(70)) + (refrain if k % 3 == 0 else "") + "".join(rng.choice("qrstuvw") for _ in range(20))) for k in range(300)]
-    got = {(r.number_a, r.number_b) for r in spans.shared_spans(bodies(spark, rows), {"f": ("char", 60)}, chunk=15).collect()}
+    got = {(r.number_a, r.number_b) for r in spans.shared_spans(bodies(spark, rows), {"f": ("char", 60)}, **options).collect()}
     assert got == {(a, b) for a in range(0, 300, 3) for b in range(0, 300, 3) if a < b}
 
 
