@@ -78,7 +78,7 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar nodes of every node whose id is divisible by 20, against all nodes."""
     vectors = table(spark, sf, "part_0")
     found = nearest(vectors, vectors.where("node_id % 20 = 0").select("node_id"), k=5)
-    return found.select(F.col("query").cast("int").alias("node_id"), F.col("neighbour").cast("int").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 4).alias("cosine"))
+    return found.select(F.col("query").cast("int").alias("node_id"), F.col("neighbour").cast("int").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 3).alias("cosine"))  # reckoned in single precision
 
 
 @query
@@ -301,3 +301,31 @@ s as (select field, number, len(w) as n from u), t as (select field, number, wor
 m as (select a.field, a.number as x, b.number as y, sum(least(a.c, b.c)) as i from t a join t b on a.field = b.field and a.word = b.word and a.number < b.number group by all)
 select m.field as field_name, x as number_a, y as number_b from m join s a on a.field = m.field and a.number = x join s b on b.field = m.field and b.number = y where 10 * i >= 7 * (a.n + b.n - i)
 """
+
+ORACLE_SQL["p5_neighbours"] = """
+with v as (select node_id, min(vector) as v from part_0 where node_id is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by node_id),
+s as (select a.node_id as x, b.node_id as y, list_cosine_similarity(cast(a.v as double[]), cast(b.v as double[])) as c from v a join v b on a.node_id <> b.node_id where a.node_id % 20 = 0),
+r as (select x, y, c, row_number() over (partition by x order by c desc, y) as k from s)
+select x as node_id, y as neighbour_id, cast(k as int) as rank, round(c, 3) as cosine from r where k <= 5
+"""
+_BAGS_SQL = ORACLE_SQL["p6_found"][: ORACLE_SQL["p6_found"].rindex("select m.field")]
+ORACLE_SQL["p6_groups"] = _BAGS_SQL.replace("with u as", "with recursive u as", 1) + """, p as (select m.field, x, y from m join s a on a.field = m.field and a.number = x join s b on b.field = m.field and b.number = y where 10 * i >= 7 * (a.n + b.n - i)),
+d as (select field, number, min(z) as class_id from (select t.field, t.number, first(t.number) over (partition by t.field, t.bag order by t.number) as z from (select field, number, list_sort(w) as bag from u where len(w) > 0) t) group by all),
+l as (select distinct p.field, a.class_id as v, b.class_id as w from p join d a on a.field = p.field and a.number = x join d b on b.field = p.field and b.number = y where a.class_id <> b.class_id),
+e as (select field, v, w from l union select field, w, v from l),
+r as (select field, class_id as v, class_id as g from d union select e.field, e.w, r.g from r join e on e.field = r.field and e.v = r.v),
+k as (select field, v, min(g) as g from r group by all), n as (select field, v, count(*) as links from e group by all)
+select d.field as field_name, d.number, d.class_id, coalesce(n.links, 0) as links, k.g as group_id from d left join n on n.field = d.field and n.v = d.class_id join k on k.field = d.field and k.v = d.class_id
+"""
+_WORDS_SQL = r"regexp_extract_all(regexp_replace(lower(strip_accents(regexp_replace({}, '[\p{{M}}\p{{Cf}}]', '', 'g'))), '[\p{{M}}\p{{Cf}}]', '', 'g'), '[\p{{L}}\p{{N}}]+')"
+_RUNS_SQL = f"""
+with d as (select doc_id, {_WORDS_SQL.format("text")} as w from documents where doc_id is not null and text is not null),
+i as (select item_id, {_WORDS_SQL.format("passage")} as w from eval_item where item_id is not null and passage is not null),
+dg as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12)),
+ig as (select item_id, k, len(w) as words, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
+f as (select distinct doc_id, item_id, k, words from dg join ig using (g))
+"""
+ORACLE_SQL["p8_found"] = f"{_RUNS_SQL} select distinct doc_id, item_id from f"
+ORACLE_SQL["p8_leaks"] = f"""{_RUNS_SQL}, s as (select doc_id, item_id, words, k, k - row_number() over (partition by doc_id, item_id order by k) as streak, least(12, coalesce(k - lag(k) over (partition by doc_id, item_id order by k), 12)) as fresh from f),
+r as (select doc_id, item_id, any_value(words) as words, sum(fresh) as covered from s group by all), t as (select doc_id, item_id, max(n) + 11 as longest from (select doc_id, item_id, streak, count(*) as n from s group by all) group by all)
+select item_id, count(*) as documents, cast(max(longest) as int) as longest_run, cast(count(*) filter (covered = words) as bigint) as in_full from r join t using (doc_id, item_id) group by item_id"""
