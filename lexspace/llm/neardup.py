@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspace.llm.pairs import pairs_within
 from lexspace.storage import discard, materialise, ship_package
 
 LEAST = (7, 10)
@@ -252,7 +253,7 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(field, number_a, number_b): all pairs of keys, copies of the representatives included."""
     a, b = members.select("field", F.col("rep").alias("a"), F.col("number").alias("x")), members.select("field", F.col("rep").alias("b"), F.col("number").alias("y"))
     across = pairs.select("field", "a", "b").join(a, ["field", "a"]).join(b, ["field", "b"]).select("field", "x", "y")
-    within = a.join(b, (a["field"] == b["field"]) & (a["a"] == b["b"]) & (a["x"] < b["y"])).select(a["field"], "x", "y")
+    within = pairs_within(members, ["field", "rep"], "number", "x", "y").select("field", "x", "y")
     return across.unionByName(within).select("field", F.least("x", "y").alias("number_a"), F.greatest("x", "y").alias("number_b"))
 
 

@@ -13,6 +13,7 @@ from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
 from lexspace.llm.mixing import mixture, reached_shares
 from lexspace.llm.neardup import expanded, groups, similar_pairs
+from lexspace.llm.pairs import pairs_within
 from lexspace.llm.spans import END, char_body, shared_spans, token_body
 from lexspace.llm.termfreq import marked_terms
 from lexspace.storage import table
@@ -86,8 +87,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of probe nodes in one cluster."""
     probes = table(spark, sf, "probe_node").where("task = 'clusters'").select(F.col("node_id").cast("long").alias("key")).distinct()
     own = clusters(table(spark, sf, "part_0"), typical=0).where("cluster is not null").join(probes, "key").select("cluster", F.col("key").cast("int").alias("node"))
-    pairs = own.withColumnRenamed("node", "node_a").join(own.withColumnRenamed("node", "node_b"), "cluster").where("node_a < node_b")
-    return pairs.select("node_a", "node_b")
+    return pairs_within(own, ["cluster"], "node", "node_a", "node_b").select("node_a", "node_b")
 
 
 @query

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspace.llm.leakage import gram_hashes
+from lexspace.llm.pairs import pairs_within
 from lexspace.storage import materialise, ship_package
 
 END = "\x1f"
@@ -303,14 +304,9 @@ def _crowded(records: DataFrame, crowded: DataFrame, runs: dict[str, tuple[str,
         own = spans.join(by.select("field", "span"), ["field", "span"])
         size = F.element_at(F.create_map(*[F.lit(x) for f, (_, run) in runs.items() for x in (f, run)]), F.col("field"))
         return own.select("field", "number", "start", (F.col("start") + size).alias("stop"))
-    one = by.groupBy("field", "lo", "hi", "n", "records").agg(F.min("span").alias("span")).select("field", "span", "n")
+    one = by.groupBy("field", "lo", "hi", "n", "records").agg(F.min("span").alias("span")).select("field", "span")
     own = once.join(one, ["field", "span"])
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    own = own.withColumn("part", F.pmod(F.xxhash64("number", F.lit(1)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cells = own.withColumn("ci", F.least("part", "other")).withColumn("cj", F.greatest("part", "other")).drop("other", "n")
-    a, b = (cells.select("field", "span", "ci", "cj", F.col("part").alias(f"part_{x}"), F.col("number").alias(f"number_{x}")) for x in "ab")
-    both = a.join(b, ["field", "span", "ci", "cj"]).where("number_a < number_b and (ci = cj or part_a <> part_b)")
-    return both.select("field", "number_a", "number_b").distinct()
+    return pairs_within(own, ["field", "span"], "number", "number_a", "number_b", chunk).select("field", "number_a", "number_b").distinct()
 
 
 def _copies(records: DataFrame, runs: dict[str, tuple[str, int]]) -> DataFrame:
@@ -331,8 +327,7 @@ def _with_copied_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
     m = members.select("field", "rep", "number")
     a = found.join(m.select("field", F.col("rep").alias("number_a"), F.col("number").alias("x")), ["field", "number_a"], "left").select("field", F.coalesce("x", "number_a").alias("x"), "number_b")
     b = a.join(m.select("field", F.col("rep").alias("number_b"), F.col("number").alias("y")), ["field", "number_b"], "left").select("field", "x", F.coalesce("y", "number_b").alias("y"))
-    other = m.select("field", "rep", F.col("number").alias("y"))
-    within = m.join(other, ["field", "rep"]).where("number < y").select("field", F.col("number").alias("x"), "y")
+    within = pairs_within(m, ["field", "rep"], "number", "x", "y").select("field", "x", "y")
     return b.unionByName(within).select("field", F.least("x", "y").alias("number_a"), F.greatest("x", "y").alias("number_b"))
 
 

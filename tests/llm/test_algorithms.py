@@ -304,7 +304,7 @@ def test_clusters(spark, block):
     rows = [(i, v) for i, (_, v) in enumerate(made)]
     lone = [(1000 + i, rng.standard_normal(64)) for i in range(40)]
     df = vectors(spark, rows + lone + [(i, v * 3) for i, v in rows[:30]] + UNUSABLE)
-    got = clusters.clusters(df, block=block).collect()
+    got = clusters.clusters(df, block=block, later=block).collect()
     assert len(got) == len(rows) + len(lone)
     own = {r.key: r for r in got}
     names = {}
