@@ -1,8 +1,9 @@
 """Items that appear together, and how much more often than chance: a blocked Gram matrix.
 
-Blocks of `block_baskets` baskets become sparse binary matrices, their columns (items) in blocks of `BLOCK_ITEMS`. In each map task the product
-of the transposed matrix with itself is made for one pair of column blocks after the other: the pairs of columns that meet in a row, added up.
-Only these sums leave the task; the products of all record blocks are summed by a shuffle on the pair, and the counts normalised by the expected marginals:
+Blocks of at most `block_baskets` baskets become sparse binary matrices, their columns (items) in blocks of `BLOCK_ITEMS`. In each map task the product
+of the transposed matrix with itself is made for one pair of column blocks after the other: the pairs of columns that meet in a row, and the diagonal, added up over
+the blocks of the task. Only these sums leave the task; they are summed by a shuffle on the pair and written. The diagonal holds the marginals, so the baskets are
+read once; the counts are normalised by the expected marginals:
     lift = n * H / (n_a * n_b), H = baskets with any item.
 
 An item that most baskets have is one column like others: its sums are spread over its partners, in one row for each pair and record block. A basket of very many
@@ -26,6 +27,7 @@ from lexspace.storage import materialise, ship_package
 
 BLOCK_BASKETS = 20_000
 BLOCK_ITEMS = 4096
+HELD_CELLS = 2_000_000
 
 
 def item_baskets(baskets: DataFrame) -> DataFrame:
@@ -63,30 +65,48 @@ def gram(code: np.ndarray, owner: np.ndarray, width: int = BLOCK_ITEMS) -> Itera
             yield cells >> 31, cells & ((1 << 31) - 1), sums
 
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by(["item_a", "item_b"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["item_a", "item_b", "n"])
+
+
+def products(batches: Iterator[pa.RecordBatch], block_baskets: int = BLOCK_BASKETS) -> Iterator[pa.RecordBatch]:
+    """Of baskets (items): the cells of X'X with the diagonal, added up over the task's blocks in bounded rounds, and the number of baskets as the cell of nulls."""
+    total, held, rows = 0, [], 0
+    for b in batches:
+        for lo in range(0, b.num_rows, block_baskets):
+            column = b.column(0).slice(lo, block_baskets)
+            lengths = np.diff(column.offsets.to_numpy())
+            total += len(lengths)
+            words = column.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            names = np.array(words.dictionary.to_pylist(), object)
+            order = np.argsort(names)
+            rank = np.argsort(order)
+            code, owner = rank[words.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(len(lengths)), lengths)
+            names, order = pa.array(names[order], pa.string()), np.lexsort((code, owner))
+            own = np.arange(len(names))
+            for x, y, n in ((own, own, np.bincount(code, minlength=len(names))), *gram(code[order], owner[order])):
+                held.append(pa.table({"item_a": names.take(pa.array(x)), "item_b": names.take(pa.array(y)), "n": pa.array(n, pa.int64())}))
+                rows += len(n)
+                if rows >= HELD_CELLS:
+                    held = [_summed(held)]
+                    rows = held[0].num_rows
+                    if rows >= HELD_CELLS // 2:
+                        yield from held[0].combine_chunks().to_batches()
+                        held, rows = [], 0
+    if held:
+        yield from _summed(held).combine_chunks().to_batches()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([total], pa.int64())], names=["item_a", "item_b", "n"])
+
+
 def together(baskets: DataFrame, least: int = 1, block_baskets: int = BLOCK_BASKETS) -> DataFrame:
     """(item_a, item_b, n, n_a, n_b, baskets, lift) of all pairs of baskets (items array<string>) that occur together at least `least` times."""
     spark = baskets.sparkSession
     ship_package(spark)
-    own = materialise(item_baskets(baskets), "p7-baskets")
-    counts = own.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
-    total = own.count()
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, block_baskets):
-                column = b.column(0).slice(lo, block_baskets)
-                lengths = np.diff(column.offsets.to_numpy())
-                items = column.flatten()
-                words = items.dictionary_encode()
-                rank = np.argsort(np.argsort(np.array(words.dictionary.to_pylist(), object)))
-                names = np.array(sorted(words.dictionary.to_pylist()), object)
-                code = rank[words.indices.to_numpy(zero_copy_only=False)] if len(items) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                order = np.lexsort((code, owner))
-                for x, y, n in gram(code[order], owner[order]):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[x], pa.string()), pa.array(names[y], pa.string()), pa.array(n, pa.int64())], names=["item_a", "item_b", "n"])
-
-    sums = own.mapInArrow(product, "item_a string, item_b string, n long").groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    a, b = counts.select(F.col("item").alias("item_a"), F.col("c").alias("n_a")), counts.select(F.col("item").alias("item_b"), F.col("c").alias("n_b"))
-    both = sums.join(a, "item_a").join(b, "item_b").withColumn("baskets", F.lit(total))
+    cells = item_baskets(baskets).mapInArrow(lambda b: products(b, block_baskets), "item_a string, item_b string, n long").groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
+    cells = materialise(cells.where((F.col("n") >= least) | F.col("item_a").isNull() | (F.col("item_a") == F.col("item_b"))), "p7-cells")
+    total = cells.where("item_a is null").select(F.col("n").alias("baskets"))  # one row
+    a, b = (cells.where("item_a = item_b").select(F.col("item_a").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    both = cells.where("item_a < item_b").join(a, "item_a").join(b, "item_b").crossJoin(F.broadcast(total))
     return both.select("item_a", "item_b", "n", "n_a", "n_b", "baskets", (F.col("n") * F.col("baskets") / (F.col("n_a") * F.col("n_b"))).alias("lift"))

@@ -110,8 +110,9 @@ class RadixSpill:
                 yield from self.aggregated(again, depth + 1)
             else:
                 with duckdb.connect(config={"memory_limit": self.memory, "threads": 1, "temp_directory": f"{self.folder}/spill"}) as db:
-                    got = db.execute("select field, term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from read_parquet(?) group by all", [path])
-                    yield from got.to_arrow_reader(50_000) if hasattr(got, "to_arrow_reader") else got.fetch_record_batch(50_000)
+                    name = path.replace("'", "''")
+                    got = db.sql(f"select field, term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from read_parquet('{name}') group by all")
+                    yield from got.to_arrow_reader(50_000) if hasattr(got, "to_arrow_reader") else got.fetch_arrow_reader(50_000)
             os.remove(path)
 
 

@@ -166,6 +166,22 @@ def test_together(spark):
     assert cooccurrence.together(df.limit(0)).count() == 0
 
 
+def test_cells_leave_the_task_in_bounded_rounds(monkeypatch):
+    rng = random.Random(7)
+    baskets = [[f"i{rng.randint(0, 40)}" for _ in range(6)] for _ in range(200)]
+    batches = [pa.record_batch({"items": pa.array([sorted(set(b)) for b in baskets[lo : lo + 30]])}) for lo in range(0, 200, 30)]
+    for held in (2_000_000, 50):
+        monkeypatch.setattr(cooccurrence, "HELD_CELLS", held)
+        got, rounds = Counter(), 0
+        for b in cooccurrence.products(iter(batches), 20):
+            rounds += 1
+            for r in b.to_pylist():
+                got[r["item_a"], r["item_b"]] += r["n"]
+        pairs = brute_pairs(baskets)
+        assert got.pop((None, None)) == 200 and {p: n for p, n in got.items() if p[0] != p[1]} == {p: n for p, (n, *_) in pairs.items()}
+        assert all(got[a, a] == n_a and got[b, b] == n_b for (a, b), (_, n_a, n_b, _) in pairs.items()) and (rounds > 2) == (held == 50)
+
+
 def test_gram_by_blocks_of_items():
     rng = np.random.default_rng(1)
     x = rng.random((50, 30)) < 0.2
