@@ -44,7 +44,7 @@ LEAST = (7, 10)
 BINS = 1 << 21
 HOT, CHUNK = 4096, 2048
 SMALL = 64
-SHARED = 3
+SHARED = 2
 _LOW = (1 << 32) - 1
 
 
