@@ -9,7 +9,8 @@ consults just as many one-row MinHash bands as make a miss less likely than `mis
 collide with a query in any band are verified by exact containment: the words of the run are compared.
 
 Documents are only read by a map stage: nothing of them is shuffled but the found pairs. The items are
-sent to the tasks in passes of at most `items_per_pass` items, whatever their number.
+sent to the tasks in passes of at most `items_per_pass` items, whatever their number; with more than one pass the documents are folded
+once and the folded texts written, which the passes read.
 
 Null or empty texts and passages, and passages shorter than a run, match nothing; rows whose id is null
 are left out; repeated rows give one result; other columns are ignored.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspace.llm.folding import fold_words
-from lexspace.storage import ship_package
+from lexspace.storage import materialise, ship_package
 
 RUN_WORDS = 12
 SHINGLE_WORDS = 5
@@ -118,8 +119,8 @@ class PassageIndex:
             hit[rows[live]] = True
         return hit
 
-    def search(self, ids: list, texts: list) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, longest run in words, passage words covered, passage words) of a batch."""
+    def search(self, ids: list, texts: list, folded: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item, longest run in words, passage words covered, passage words) of a batch; folded texts are words with single spaces."""
         if not len(self.run_keys):
             return
         known: dict[str, int] = {}
@@ -128,7 +129,7 @@ class PassageIndex:
         for doc, text in zip(ids, texts, strict=True):
             if doc is None or not text:
                 continue
-            ws = fold_words(text)
+            ws = text.split(" ") if folded else fold_words(text)
             if len(ws) < self.run:
                 continue
             for w in ws:
@@ -169,6 +170,11 @@ class PassageIndex:
             yield doc, item, longest + self.run - 1, covered, self.n_words[item]
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(fold_words(t)) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+
 def leaked_items(
     documents: DataFrame,
     items: DataFrame,
@@ -192,6 +198,8 @@ def leaked_items(
     passes = max(1, math.ceil(n / items_per_pass))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, longest_run int, words_covered int, passage_words int"
+    if passes > 1:
+        docs = materialise(docs.mapInArrow(_folded, "doc_id long, text string"), "p8-folded")
     out = None
     for k in range(passes):
         some = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
@@ -199,7 +207,7 @@ def leaked_items(
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = list(index.value.search(b.column(0).to_pylist(), b.column(1).to_pylist()))
+                got = list(index.value.search(b.column(0).to_pylist(), b.column(1).to_pylist(), passes > 1))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 columns = list(zip(*got, strict=True)) if got else [()] * 5
                 yield pa.RecordBatch.from_arrays(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspace.llm.clusters import clusters
 from lexspace.llm.collision import nearest
 from lexspace.llm.cooccurrence import together
+from lexspace.llm.deliveries import first_deliveries
 from lexspace.llm.distinctive import association, most_distinctive
 from lexspace.llm.langid import language_lines
 from lexspace.llm.leakage import leaked_items
@@ -54,13 +55,14 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's language (that of most of its countable lines), its share of them, and the mean confidence."""
+    """Each document's language (that of most of its countable lines), its share of them, the mean confidence, and how many lines are rejected as none of the languages."""
     lines = language_lines(table(spark, sf, "documents"))
-    by = lines.groupBy("doc_id", "lang", "named").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    by = lines.groupBy("doc_id", "lang", "named").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.count_if("rejected").alias("r"))
     return by.groupBy("doc_id", "named").agg(
         F.max_by("lang", F.struct("n", "lang")).alias("lang"),
         F.max("n").alias("lines_in_it"),
         F.sum("n").alias("lines"),
+        F.sum("r").alias("rejected_lines"),
         (F.sum("c") / F.sum("n")).alias("confidence"),
         (F.count("*") > 1).alias("mixed"),
     )
@@ -213,8 +215,8 @@ def p3_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def _half_verses(spark: SparkSession, sf: str) -> DataFrame:
     """(items): the lexemes of each half-verse, deliveries of a psalm counted once."""
-    one = table(spark, sf, "lexical_psalm").where("number is not null").groupBy("number").agg(F.min("half_verse_lexemes").alias("h"))
-    return one.select(F.explode("h").alias("items")).where("items is not null")
+    one = first_deliveries(table(spark, sf, "lexical_psalm"), ["number"], "half_verse_lexemes")
+    return one.select(F.explode("half_verse_lexemes").alias("items")).where("items is not null")
 
 
 @query

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspace.llm.deliveries import first_deliveries
 from lexspace.storage import shared_dir, ship_package
 
 ROWS_IN_MEMORY = 2_000_000
@@ -44,8 +45,7 @@ COUNTED = "field string, term string, occurrences long, records long"
 
 def distinct_records(records: DataFrame) -> DataFrame:
     """One row of (field, number, words array<string>) for each key."""
-    clean = records.select("field", F.col("number").cast("long").alias("number"), "words").where("field is not null and number is not null")
-    return clean.groupBy("field", "number").agg(F.min("words").alias("words"))
+    return first_deliveries(records.select("field", F.col("number").cast("long").alias("number"), "words"), ["field", "number"], "words")
 
 
 def map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

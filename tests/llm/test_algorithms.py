@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexspace.llm import clusters, collision, cooccurrence, distinctive, neardup, spans, termfreq
+from lexspace.llm import clusters, collision, cooccurrence, deliveries, distinctive, neardup, pairs, spans, termfreq
 
 BODIES = "pos string, field string, number long, body string, h int, n int, left string"
 WORDS = "field string, number long, words array<string>, term string, n int"
@@ -336,3 +336,20 @@ def test_clusters(spark, block):
 
 def test_clusters_of_an_empty_table(spark):
     assert clusters.clusters(vectors(spark, UNUSABLE)).count() == 0
+
+
+def test_first_deliveries(spark):
+    rows = [(1, ["b"]), (1, ["a"]), (1, ["b"]), (2, None), (3, ["c"]), (3, ["c"]), (None, ["d"]), (4, []), (5, None), (5, ["e"])]
+    df = spark.createDataFrame([(k, w, "x") for k, w in rows], "number long, words array<string>, _n string")
+    got = deliveries.first_deliveries(df, ["number"], "words").collect()
+    assert {(r.number, None if r.words is None else tuple(r.words)) for r in got} == {(1, ("a",)), (2, None), (3, ("c",)), (4, ()), (5, ("e",))} and len(got) == 5
+    assert deliveries.first_deliveries(df.limit(0), ["number"], "words").count() == 0
+
+
+@pytest.mark.parametrize("part", [4096, 1, 3])
+def test_pairs_within_groups(spark, part):
+    rows = [("a", x) for x in (5, 1, 3, 3, 9, 8, 2)] + [("b", 1), ("b", 2), ("c", 7), (None, 1), (None, 2), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x long")
+    got = [tuple(r) for r in pairs.pairs_within(df, ["g"], "x", "lo", "hi", part).collect()]
+    want = {("a", p, q) for p in (1, 2, 3, 5, 8, 9) for q in (1, 2, 3, 5, 8, 9) if p < q} | {("b", 1, 2)}
+    assert len(got) == len(want) and set(got) == want
