@@ -25,9 +25,10 @@ SMOOTHING = 0.75
 
 def joint_counts(records: DataFrame) -> DataFrame:
     """(field, number, term, tf) of records (field, number, words)."""
-    from lexspace.llm.termfreq import distinct_records
-
-    words = distinct_records(records).select("field", "number", F.explode("words").alias("term")).where("term is not null")
+    clean = records.select("field", F.col("number").cast("long").alias("number"), "words").where("field is not null and number is not null")
+    # all records are moved by key once, so their terms need no further shuffle to be counted
+    once = clean.groupBy("field", "number").agg(F.min("words").alias("words"))
+    words = once.select("field", "number", F.explode("words").alias("term")).where("term is not null")
     return words.groupBy("field", "number", "term").agg(F.count("*").alias("tf"))
 
 
