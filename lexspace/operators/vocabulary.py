@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 2
+#: long enough that no prefix holds a large part of a vocabulary, short enough that the prefixes are far fewer than the values
+PREFIX = 4
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(value, idx int, size long): idx is the place among all distinct values, size their number.
 
-    Places are counted within prefixes, and only the prefixes' sizes are added up in one task, so no task sorts all values.
+    Places are counted within prefixes, and only the prefixes' sizes are added up in one task, one row for each prefix, so no task sorts all values.
     """
     values = tokens.select("value").distinct().withColumn("p", F.substring("value", 1, PREFIX)).where("p is not null")  # as the join below asks: so both uses share one shuffle
     sizes = values.groupBy("p").agg(F.count("*").alias("m"))

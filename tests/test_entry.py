@@ -8,7 +8,9 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["lexeme_icf", "homograph_icf_spacing4", "lexeme_icf_position_mean_psalm", "word_vocalized_tf_icf", "word_cantillation_icf_position8", "word_consonantal_icf_spacing2_psalm", "frequency_homograph", "vocabulary_cantillation", "segment_text", "groups_from_words", "icf_position4_shuffle", "vector_norms", "dense_icf", "dataset_anti_join"]
+SOME = ["lexeme_icf", "homograph_icf_spacing4", "lexeme_icf_position_mean_psalm", "word_vocalized_tf_icf", "word_cantillation_icf_position8", "word_consonantal_icf_spacing2_psalm", "frequency_homograph", "vocabulary_cantillation", "segment_text", "groups_from_words", "icf_position4_shuffle", "vector_norms", "dense_icf", "loaded_surface_psalm", "loaded_psalm", "acquired_corpus", "scope_of_book", "lexeme_tf_icf_of_book", "words_in_segments", "aligned_layers", "node_vectors_join", "pooled_last_token",
+        "encode_with_retries", "encode_last_tokens", "fetched_vectors", "providers", "model_loading", "model_datasets", "large_model_choices", "groups_in_order", "strict_icf", "out_of_vocabulary", "dataset_plan", "written_order",
+        "command_shuffle_segments", "command_semantic", "command_large", "new_datasets"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
