@@ -20,7 +20,7 @@ from lexspace.operators.shuffle import numpy_order, shuffled_order
 from lexspace.operators.vocabulary import dictionary, vocabulary
 from lexspace.plans import pipeline
 from lexspace.plans.catalog import listing, new_leaves, not_written, read_datasets
-from lexspace.plans.constructions import CONSTRUCTIONS, Prepared, build, prepare
+from lexspace.plans.constructions import CONSTRUCTIONS, GROUP_CONSTRUCTIONS, Prepared, build, prepare
 from lexspace.plans.encode import KEY_VARIABLES, batch_numbers, encode, group_order, node_vectors, spans
 from lexspace.plans.fetchers import PROVIDERS, fetcher
 from lexspace.plans.models import CHECKPOINTS, acquired, loading, local_encoder
@@ -145,9 +145,17 @@ from seg a join seg b on a.group_id = b.group_id and a.seg_idx < b.seg_idx left
 # --- constructions ----------------------------------------------------------------------------------------------
 
 
+def _rounded(by: DataFrame) -> DataFrame:
+    """Values as the queries give them; a group's are rounded before they go to its segments, not once for each."""
+    return by.withColumn("val", F.round("val", 6) + F.lit(0.0))
+
+
 def _construction(unit: str, name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return build(name, prepared(spark, sf, unit)).select("node_id", "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+        p = prepared(spark, sf, unit)
+        if name in GROUP_CONSTRUCTIONS:
+            return position.to_segments(_rounded(GROUP_CONSTRUCTIONS[name](p)), p.segments)
+        return _rounded(build(name, p).select("node_id", "idx", "val"))
 
     return run
 
@@ -380,8 +388,8 @@ def icf_position4_shuffle(spark: SparkSession, sf: str) -> DataFrame:
 h as (select group_id, seed, idx, w as val from z union all select group_id, seed, size + idx, w * (2 * t - 1) from z) select cast(seed as int) as seed, node_id, {_ROUND} from seg join h using (group_id)""")
 def icf_position_mean_psalm_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     p, order, _ = _with_seed(spark, sf)
-    long = p.segments.select("group_id", "seed", "node_id").join(position.group_zoning(p.tf, order), "group_id")
-    return long.select(F.col("seed").cast("int").alias("seed"), "node_id", "idx", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+    long = p.segments.select("group_id", "seed", "node_id").join(_rounded(position.group_zoning(p.tf, order)), "group_id")
+    return long.select(F.col("seed").cast("int").alias("seed"), "node_id", "idx", "val")
 
 
 # --- dense vectors ----------------------------------------------------------------------------------------------
