@@ -172,6 +172,8 @@ def nearest(
         some = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p)
         part = _one_pass(index, some, k, dim, projections, levels)
         found = part if found is None else found.unionByName(part)
+    for done in (index, asked):  # what was found is written
+        discard(done)
     return found
 
 

@@ -246,7 +246,10 @@ def similar_pairs(records: DataFrame, unit_of: dict[str, str], least: tuple[int,
     both = tally.join(left, ["field", "a"]).join(right, ["field", "b"])
     common = both.select("field", "a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"), (F.size("tokens_a") + F.size("tokens_b")).alias("sum"))
     found = common.select("field", "a", "b", "common", (F.col("sum") - F.col("common")).alias("united")).where(F.col("common") * least[1] >= F.col("united") * least[0])
-    return materialise(found, "p6-pairs"), members
+    pairs = materialise(found, "p6-pairs")
+    for done in (reps, tally):
+        discard(done)
+    return pairs, members
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:

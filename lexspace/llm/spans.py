@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lexspace.llm.leakage import gram_hashes
 from lexspace.llm.pairs import pairs_within
-from lexspace.storage import materialise, ship_package
+from lexspace.storage import discard, materialise, ship_package
 
 END = "\x1f"
 GROUP_SUFFIXES = 50_000
@@ -229,6 +229,7 @@ def shared_spans(records: DataFrame, runs: dict[str, tuple[str, int]], pairs: bo
 
     suffixes = joined.mapInPandas(cut, "field string, number long, pos int, hot boolean, left string, right string")
     suffixes = materialise(suffixes, "p1-suffixes")
+    discard(places)
     keyed = _with_prefix(suffixes.where("not hot").drop("hot"), runs, group_suffixes)
     parts = keyed.repartition("field", "prefix").sortWithinPartitions("field", "right", "number", "pos")
 
@@ -319,7 +320,9 @@ def _copies(records: DataFrame, runs: dict[str, tuple[str, int]]) -> DataFrame:
         long_enough = long_enough | ((F.col("field") == field) & (n >= run))
     keys = materialise(records.where(long_enough).select("field", "number", F.sha2("body", 256).alias("h"), size.alias("symbols")), "p1-keys")
     classes = keys.groupBy("field", "h").agg(F.min("number").alias("rep"), F.max("number").alias("top")).where("rep < top").select("field", "h", "rep")
-    return materialise(keys.join(classes, ["field", "h"]).select("field", "rep", "number", "symbols").distinct(), "p1-copies")
+    copies = materialise(keys.join(classes, ["field", "h"]).select("field", "rep", "number", "symbols").distinct(), "p1-copies")
+    discard(keys)
+    return copies
 
 
 def _with_copied_pairs(found: DataFrame, members: DataFrame) -> DataFrame:

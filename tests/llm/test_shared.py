@@ -21,3 +21,23 @@ def test_every_psalm_has_its_share(spark, tmp_path):
     words = {1: (12, 14, 0.857143), 2: (12, 13, 0.923077), 3: (0, 1, 0), 4: (0, 0, 0), 5: (0, 0, 0), 6: (0, 3, 0)}
     assert {k: by["unvocalized", k] for k in text} == text
     assert {k: by["lexemes", k] for k in words} == words
+
+
+def test_operators_leave_nothing_that_is_not_needed(spark, tmp_path, monkeypatch):
+    """Within `intermediates` everything is deleted at the end; the tables that no result reads go before."""
+    import os
+
+    from lexspace import storage
+    from lexspace.llm import clusters, collision, neardup
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    labels = lambda: sorted(f.rpartition("-")[0] for f in os.listdir(tmp_path / "lexspace"))
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(30)], "node_id long, vector array<float>")
+    bodies = spark.createDataFrame([("f", k, " ".join(rng.choices("abcdefgh", k=30))) for k in range(20)], "field string, number long, body string")
+    with storage.intermediates(spark):
+        assert collision.nearest(vectors, vectors.select("node_id")).count() == 150 and labels() == ["p5-best"]
+        assert clusters.clusters(vectors).count() == 30 and labels() == ["p4-assigned", "p5-best"]
+        neardup.expanded(*neardup.similar_pairs(bodies, {"f": "space"})).count()
+        assert labels() == ["p4-assigned", "p5-best", "p6-members", "p6-pairs"]
+    assert labels() == []
