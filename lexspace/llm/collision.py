@@ -36,7 +36,7 @@ from lexspace.storage import discard, materialise, ship_package
 #: (radius, projections, threshold) of each level.
 LEVELS = ((0.2, 32, 14), (0.32, 32, 14), (0.65, 64, 33), (0.85, 64, 33), (1.1, 64, 35))
 QUERIES_PER_PASS = 8192
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 8192  #: places of rows must fit 16 bits, numbers of projections 8
 SEED = 5
 _INDEX = "keys binary, vectors binary, placed binary, line binary"
 
@@ -87,14 +87,20 @@ class Queries:
     def in_block(self, keys: np.ndarray, rows: np.ndarray, placed: np.ndarray, line: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query number, key, cosine) of each query's k best different keys among the rows that collide with it often enough and reach its bound."""
         m, n = self.projections, len(keys)
-        flat = [p.astype(np.int64) for p in placed[:m]]
+        # a row collides if its place in a sorted array lies within the query's window there
+        places = np.empty((m, n), np.uint16)
+        np.put_along_axis(places, placed[:m].astype(np.int64), np.broadcast_to(np.arange(n, dtype=np.uint16), (m, n)), axis=1)
         lines = line[:m].astype(np.float32)
-        lo = np.stack([np.searchsorted(a, q) for a, q in zip(lines, self.lo, strict=True)], axis=1).tolist()
-        hi = np.stack([np.searchsorted(a, q, side="right") for a, q in zip(lines, self.hi, strict=True)], axis=1).tolist()
+        lo = np.stack([np.searchsorted(a, q) for a, q in zip(lines, self.lo, strict=True)], axis=1)
+        hi = np.stack([np.searchsorted(a, q, side="right") for a, q in zip(lines, self.hi, strict=True)], axis=1)
+        lo, width = lo.astype(np.uint16)[:, :, None], (hi - lo).astype(np.uint16)[:, :, None]
+        past, within, count = np.empty((m, n), np.uint16), np.empty((m, n), bool), np.empty(n, np.uint8)
         got, number, at, held = [], [], [], 0
         for q in range(len(self.keys)):
-            hits = np.concatenate([o[a:b] for o, a, b in zip(flat, lo[q], hi[q], strict=True)])
-            near = np.flatnonzero(np.bincount(hits, minlength=n) >= self.threshold)
+            np.subtract(places, lo[q], out=past)  # places before the window wrap around to large numbers
+            np.less(past, width[q], out=within)
+            np.add.reduce(within.view(np.uint8), axis=0, dtype=np.uint8, out=count)
+            near = np.flatnonzero(count >= self.threshold)
             if len(near):
                 number.append(np.full(len(near), q))
                 at.append(near)
