@@ -31,7 +31,7 @@ def semantic_path(root: str, model: str, variation: str) -> str:
 
 
 def is_written(leaf: str, spark: SparkSession | None = None) -> bool:
-    return exists(spark or SparkSession.getActiveSession(), f"{leaf}/_SUCCESS")
+    return exists(spark or SparkSession.builder.getOrCreate(), f"{leaf}/_SUCCESS")
 
 
 def files_of(rows: int, dim: int) -> int:
@@ -63,7 +63,7 @@ def write_dataset(vectors: DataFrame, leaf: str, description: str, files: int =
 
 def leaves(root: str, spark: SparkSession | None = None) -> list[tuple[dict[str, str], str]]:
     """(partition values, path) of all written leaves, in order of path."""
-    spark = spark or SparkSession.getActiveSession()
+    spark = spark or SparkSession.builder.getOrCreate()
     found = []
     for depth in ("type=*/*=*/*=*", "type=*/*=*/*=*/*=*"):
         own, fs = file_system(spark, f"{root.rstrip('/')}/{depth}/_SUCCESS")

@@ -51,7 +51,7 @@ def generate(nested: DataFrame, weights: Mapping[str, DataFrame], root: str, uni
     done = []
     for unit in units:
         folder, text, prefix = _place(unit)
-        missing = [c for c in constructions if not is_written(lexical_path(root, folder, c, text))]
+        missing = [c for c in constructions if not is_written(lexical_path(root, folder, c, text), nested.sparkSession)]
         if not missing:
             continue
         p = prepare(nested, unit, weights=weights[unit], unseen=unseen)
@@ -98,7 +98,7 @@ def _semantic(nested: DataFrame, root: str, slug: str, factory: Callable[[], Cal
     done, model, made = [], BY_SLUG[slug], None
     for v in variations_for_model(slug):
         leaf = semantic_path(root, model.dataset, v.name)
-        if variation not in (None, v.name) or is_written(leaf):
+        if variation not in (None, v.name) or is_written(leaf, nested.sparkSession):
             continue
         made = made or factory()
         print(dataset_name(slug, v.name), file=sys.stderr)
