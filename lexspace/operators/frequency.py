@@ -36,7 +36,16 @@ def surface_frequency(corpus: DataFrame, tier: str) -> DataFrame:
     """(value, f): occurrences of each surface form."""
     if tier not in TIERS:
         raise KeyError(tier)
-    once = words(corpus.select("node", "g_cons", "g_word", "loaded_at"))
+    return surface_counts(surface_words(corpus), tier)
+
+
+def surface_words(corpus: DataFrame) -> DataFrame:
+    """(node, g_cons, g_word): the words that all tiers are counted over."""
+    return words(corpus.select("node", "g_cons", "g_word", "loaded_at"))
+
+
+def surface_counts(once: DataFrame, tier: str) -> DataFrame:
+    """(value, f) over `surface_words`."""
     return once.select(unit_value(tier).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("f"))
 
 

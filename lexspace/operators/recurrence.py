@@ -25,14 +25,20 @@ def pair_lags(segments: DataFrame, order: DataFrame | None = None) -> DataFrame:
     return both.select("group_id", F.col("position").alias("i"), "j", ((F.col("j") - F.col("position")) / (F.col("n") - 1)).alias("lag"))
 
 
-def pair_cosines(tf: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """(group_id, n, i, j, node_i, node_j, cos) of the pairs of segments i < j that share a value; the others' cosine is 0."""
+def _products(tf: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(group_id, n, i, j, node_i, node_j, x): what each shared value adds to the cosine of two segments i < j."""
     rows = with_position(tf, order).select("group_id", "n", "node_id", "position", "idx", "w")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("node_id")))
     unit = rows.withColumn("norm", norm).where("norm > 0").select("group_id", "n", "node_id", "position", "idx", (F.col("w") / F.col("norm")).alias("u"))
-    other = unit.select("group_id", "idx", F.col("node_id").alias("node_j"), F.col("position").alias("j"), F.col("u").alias("v"))
-    both = unit.join(other, ["group_id", "idx"]).where("position < j")
-    return both.groupBy("group_id", "n", F.col("position").alias("i"), "j", F.col("node_id").alias("node_i"), "node_j").agg(F.sum(F.col("u") * F.col("v")).alias("cos"))
+    # a group has one n: joined by, it leaves both sides with the same columns, so they share one shuffle
+    other = unit.select("group_id", "n", F.col("node_id").alias("node_j"), F.col("position").alias("j"), "idx", F.col("u").alias("v"))
+    both = unit.join(other, ["group_id", "n", "idx"]).where("position < j")
+    return both.select("group_id", "n", F.col("position").alias("i"), "j", F.col("node_id").alias("node_i"), "node_j", (F.col("u") * F.col("v")).alias("x"))
+
+
+def pair_cosines(tf: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """(group_id, n, i, j, node_i, node_j, cos) of the pairs of segments i < j that share a value; the others' cosine is 0."""
+    return _products(tf, order).groupBy("group_id", "n", "i", "j", "node_i", "node_j").agg(F.sum("x").alias("cos"))
 
 
 def _bins(k: int) -> tuple[Column, Column, Column]:
@@ -45,9 +51,9 @@ def _bins(k: int) -> tuple[Column, Column, Column]:
 
 def spacing(tf: DataFrame, segments: DataFrame, k: int, order: DataFrame | None = None) -> DataFrame:
     """(node_id, idx, val): for each segment and lag bin the mean cosine to all other segments of its group in that bin; bins without any are absent."""
-    pairs = pair_cosines(tf, order)
+    products = _products(tf, order)  # a sum of cosines needs no pair's own
     ends = F.array(F.col("node_i"), F.col("node_j"))
-    sums = pairs.select(F.explode(ends).alias("node_id"), lag_bin(F.col("j") - F.col("i"), F.col("n"), k).cast("long").alias("bin"), "cos").groupBy("node_id", "bin").agg(F.sum("cos").alias("s"))
+    sums = products.select(F.explode(ends).alias("node_id"), lag_bin(F.col("j") - F.col("i"), F.col("n"), k).cast("long").alias("bin"), "x").groupBy("node_id", "bin").agg(F.sum("x").alias("s"))
     b, lo, hi = _bins(k)
     rows = with_position(segments, order).where("n >= 2").select("node_id", "n", "position", b).withColumn("lo", lo).withColumn("hi", hi)
     p, n = F.col("position"), F.col("n")
@@ -58,7 +64,7 @@ def spacing(tf: DataFrame, segments: DataFrame, k: int, order: DataFrame | None
 
 def group_spacing(tf: DataFrame, segments: DataFrame, k: int, order: DataFrame | None = None) -> DataFrame:
     """(group_id, idx, val): the mean cosine of all pairs of the group's segments in each lag bin."""
-    sums = pair_cosines(tf, order).select("group_id", lag_bin(F.col("j") - F.col("i"), F.col("n"), k).cast("long").alias("bin"), "cos").groupBy("group_id", "bin").agg(F.sum("cos").alias("s"))
+    sums = _products(tf, order).select("group_id", lag_bin(F.col("j") - F.col("i"), F.col("n"), k).cast("long").alias("bin"), "x").groupBy("group_id", "bin").agg(F.sum("x").alias("s"))
     b, lo, hi = _bins(k)
     rows = segments.where("n >= 2").select("group_id", "n").distinct().select("group_id", "n", b).withColumn("lo", lo).withColumn("hi", hi)
     lags = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0))

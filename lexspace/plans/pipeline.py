@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import argparse
+import math
 import os
 import sys
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspace.functions.dense import densify
-from lexspace.operators.frequency import frequency, icf_weights, total_tokens
+from lexspace.operators.frequency import frequency, icf_weights, surface_counts, surface_words, total_tokens
 from lexspace.operators.shuffle import numpy_order, shuffled_order
-from lexspace.plans.catalog import files_of, is_written, lexical_path, semantic_path, write_dataset
-from lexspace.plans.constructions import CONSTRUCTIONS, Prepared, build, prepare
+from lexspace.plans.catalog import files_of, is_written, lexical_path, semantic_path, write_dataset, write_entries
+from lexspace.plans.constructions import CONSTRUCTIONS, GROUP_CONSTRUCTIONS, Prepared, build, prepare
 from lexspace.plans.encode import Encoder, api_key, encode, model_batch
 from lexspace.plans.fetchers import PROVIDERS, fetcher
 from lexspace.plans.models import local_encoder
 from lexspace.plans.registry import ALIASES, BY_SLUG, MODELS, dataset_description, dataset_name, models_for_choice, variations_for_model
 from lexspace.sources.corpus import LEXICAL_COLUMNS, LEXICAL_UNITS, SURFACE_COLUMNS, TEXT_COLUMNS, TIERS, WORD_COLUMNS, load_corpus, one_delivery, variant
+from lexspace.storage import release
 
 
 def _place(unit: str) -> tuple[str, str | None, str]:
@@ -38,12 +41,42 @@ def lexical_plan(spark: SparkSession) -> DataFrame:
     return units.crossJoin(F.broadcast(names)).select("unit", "construction", F.concat_ws("_", "unit", "construction").alias("dataset"), F.concat("folder", "construction").alias("leaf"))  # literal tables
 
 
-def _write(prepared: Prepared, name: str, leaf: str, label: str, order: DataFrame | None = None) -> None:
-    size = prepared.dictionary.agg(F.max("size").alias("v")).first().v or 0
-    dim = CONSTRUCTIONS[name][1](int(size))
-    long = build(name, prepared, order)
-    files = files_of(prepared.segments.count(), dim)
-    write_dataset(densify(long, prepared.segments, dim), leaf, f"{label}: {name} vectors of each segment, dimension {dim}", files)
+#: Entries that a task encodes, twice the counted terms being the most that a construction has.
+PART_ENTRIES = 1 << 18
+
+
+@dataclass(frozen=True)
+class _Shape:
+    """What all datasets of a unit share: the vocabulary's size, the tasks that write, and the node ids between their parts."""
+
+    size: int
+    parts: int
+    bounds: list[float]
+
+
+def _kept(p: Prepared) -> Prepared:
+    """The relations, cached. The dictionary comes first: what is cached after it is made of it, not of its tables once again."""
+    entries = p.dictionary.persist()
+    return Prepared(p.segments.persist(), p.tf.persist(), entries)
+
+
+def _shape(p: Prepared) -> _Shape:
+    size = p.dictionary.agg(F.max("size").alias("v")).first().v or 0
+    parts = max(1, math.ceil(2 * p.tf.count() / PART_ENTRIES))
+    bounds = p.segments.approxQuantile("node_id", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
+    return _Shape(int(size), parts, sorted(bounds))
+
+
+def _write(prepared: Prepared, shape: _Shape, name: str, leaf: str, label: str, order: DataFrame | None = None) -> None:
+    dim = CONSTRUCTIONS[name][1](shape.size)
+    about = f"{label}: {name} vectors of each segment, dimension {dim}"
+    if not dim:
+        write_dataset(densify(build(name, prepared, order), prepared.segments, dim), leaf, about)
+        return
+    features = GROUP_CONSTRUCTIONS[name](prepared, order) if name in GROUP_CONSTRUCTIONS else build(name, prepared, order)
+    write_entries(features, prepared.segments, dim, leaf, about, shape.bounds, shape.parts)
+    del features
+    release(prepared.segments.sparkSession)
 
 
 def generate(nested: DataFrame, weights: Mapping[str, DataFrame], root: str, units: tuple[str, ...] = LEXICAL_UNITS, constructions: tuple[str, ...] = tuple(CONSTRUCTIONS), unseen: DataFrame | None = None) -> list[str]:
@@ -55,10 +88,11 @@ def generate(nested: DataFrame, weights: Mapping[str, DataFrame], root: str, uni
         if not missing:
             continue
         p = prepare(nested, unit, weights=weights[unit], unseen=unseen)
-        p = Prepared(p.segments.persist(), p.tf.persist(), p.dictionary.persist())
+        p = _kept(p)
+        shape = _shape(p)
         for c in missing:
             print(f"{prefix}_{c}", file=sys.stderr)
-            _write(p, c, lexical_path(root, folder, c, text), prefix)
+            _write(p, shape, c, lexical_path(root, folder, c, text), prefix)
             done.append(f"{prefix}_{c}")
         for df in (p.segments, p.tf, p.dictionary):
             df.unpersist()
@@ -72,12 +106,12 @@ def generate_surface(nested: DataFrame, weights: Mapping[str, DataFrame], root:
 def generate_shuffled(nested: DataFrame, weights: DataFrame, root: str, n_shuffles: int = 30, construction: str = "icf_position_mean_psalm", label: str = "icf_position_mean_psalm_shuffle", order: Callable[[DataFrame, int], DataFrame] = numpy_order, unseen: DataFrame | None = None) -> list[str]:
     """Datasets of a construction with the segments of each group permuted, seeds 1..n; written again at each run. order: the permutation of a seed."""
     p = prepare(nested, "homograph", weights=weights, unseen=unseen)
-    p = Prepared(p.segments.persist(), p.tf.persist(), p.dictionary.persist())
-    names = []
+    p = _kept(p)
+    shape, names = _shape(p), []
     for seed in range(1, n_shuffles + 1):
         name = f"{label}{seed:02d}"
         print(f"homograph_{name}", file=sys.stderr)
-        _write(p, construction, lexical_path(root, "homograph", name), name, order(p.segments, seed))
+        _write(p, shape, construction, lexical_path(root, "homograph", name), name, order(p.segments, seed))
         names.append(f"homograph_{name}")
     for df in (p.segments, p.tf, p.dictionary):
         df.unpersist()
@@ -154,8 +188,10 @@ def generate_large(nested: DataFrame, root: str, choice: str | None = None, enco
     return generate_all(nested, root, encoders, slugs=tuple(m.slug for m in models_for_choice(choice)), **options)
 
 
-def corpus_weights(corpus: DataFrame, unit: str) -> DataFrame:
-    return icf_weights(frequency(corpus, unit), total_tokens(corpus))
+def corpus_weights(corpus: DataFrame, unit: str, total: DataFrame | None = None, once: DataFrame | None = None) -> DataFrame:
+    """total, once: of the corpus, if they are there already (`total_tokens`, `surface_words`)."""
+    counted = surface_counts(once, unit) if once is not None and unit in TIERS else frequency(corpus, unit)
+    return icf_weights(counted, total_tokens(corpus) if total is None else total)
 
 
 def main(argv: list[str] | None = None, encoders: Mapping[str, Callable[[], Encoder]] | None = None, fetchers: Mapping[str, Callable] | None = None, env: Mapping[str, str] | None = None) -> list[str]:
@@ -194,13 +230,17 @@ def main(argv: list[str] | None = None, encoders: Mapping[str, Callable[[], Enco
         if not a.words:
             parser.error(f"{a.what} needs --words")
         nested, flat = corpus(a.groups, SURFACE_COLUMNS if a.what == "surface" else LEXICAL_COLUMNS), corpus(a.words, WORD_COLUMNS)
-        unseen = total_tokens(flat) if a.lenient else None
+        total, once = total_tokens(flat).persist(), surface_words(flat).persist() if a.what == "surface" and "loaded_at" in flat.columns else None
+        unseen = total if a.lenient else None
         if a.what in ("lexical", "surface"):
             units = LEXICAL_UNITS if a.what == "lexical" else TIERS
-            done = generate(nested, {u: corpus_weights(flat, u) for u in units}, a.output_root, units, tuple(a.constructions), unseen)
+            done = generate(nested, {u: corpus_weights(flat, u, total, once) for u in units}, a.output_root, units, tuple(a.constructions), unseen)
         else:
             make = generate_shuffled if a.what == "shuffle" else generate_shuffled_segments
-            done = make(nested, corpus_weights(flat, "homograph"), a.output_root, a.n_shuffles, order=numpy_order if a.order == "numpy" else shuffled_order, unseen=unseen)
+            done = make(nested, corpus_weights(flat, "homograph", total), a.output_root, a.n_shuffles, order=numpy_order if a.order == "numpy" else shuffled_order, unseen=unseen)
+        for df in (total, once):
+            if df is not None:
+                df.unpersist()
     print(f"{len(done)} datasets written", file=sys.stderr)
     return done
 

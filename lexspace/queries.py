@@ -9,7 +9,7 @@ import os
 from types import SimpleNamespace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspace.functions.dense import all_finite, densify, last_token_pooled, norm, rotary_tables, sparsify
@@ -19,7 +19,7 @@ from lexspace.operators import position, recurrence, vectors
 from lexspace.operators.shuffle import numpy_order, shuffled_order
 from lexspace.operators.vocabulary import dictionary, vocabulary
 from lexspace.plans import pipeline
-from lexspace.plans.catalog import listing, new_leaves, not_written, read_datasets
+from lexspace.plans.catalog import listing, new_leaves, not_written, read_datasets, read_entries
 from lexspace.plans.constructions import CONSTRUCTIONS, GROUP_CONSTRUCTIONS, Prepared, build, prepare
 from lexspace.plans.encode import KEY_VARIABLES, batch_numbers, encode, group_order, node_vectors, spans
 from lexspace.plans.fetchers import PROVIDERS, fetcher
@@ -662,11 +662,20 @@ def _command(spark: SparkSession, root: str, sf: str, what: str, groups: str, *o
 
 def _written(spark: SparkSession, root: str) -> DataFrame:
     """(dataset, node_id, idx, val) of what was written, entry by entry."""
-    every = read_datasets(spark, root)
+    every = read_datasets(spark, root, type="semantic")
+    if every is None:
+        entries = read_entries(spark, root, lambda v: "_".join(v[k] for k in ("unit", "text", "construction") if k in v))
+        return entries.select("dataset", "node_id", "idx", _to_four(F.col("val").cast("double")).alias("val")).where("val <> 0")
     name = F.concat_ws("_", F.coalesce("unit", F.col("type")), "model", "text", "construction")
     return every.select(name.alias("dataset"), "node_id", F.posexplode("vector").alias("idx", "val")).where("val <> 0").select("dataset", "node_id", F.col("idx").cast("long").alias("idx"), _stored()).where("val <> 0")
 
 
+def _to_four(x: Column) -> Column:
+    """round(x, 4) in plain arithmetic, which is exact for single-precision values of moderate size: no such value times 10,000 lies closer to a half than doubles tell apart."""
+    near = F.floor(F.abs(x) * 10000 + 0.5) / 10000
+    return F.when(F.abs(x) < 1e6, F.when(x < 0, -near).otherwise(near) + F.lit(0.0)).otherwise(F.round(x, 4))
+
+
 def _written_sql(parts: dict[str, str]) -> str:
     return " union all ".join(f"select '{name}' as dataset, node_id, cast(idx as bigint) as idx, {_FLOAT} from ({sql}) where {_KEPT}" for name, sql in parts.items())
 
