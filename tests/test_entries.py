@@ -93,3 +93,15 @@ def test_rounding_is_that_of_round(spark):
     some = np.concatenate([np.random.default_rng(1).normal(size=2000) * 3, np.arange(-40, 40) / 32, [1e-6, 4.99e-5, 5e-5, 3e9, 0.0]]).astype(np.float32)
     df = spark.createDataFrame([(float(x),) for x in some], "x double")
     assert df.where(~(_to_four(F.col("x")) == F.round("x", 4) + F.lit(0.0))).count() == 0
+
+
+def test_lexical_datasets_are_made_of_entries(spark, tmp_path):
+    """Neither words nor shuffles are written value by value."""
+    from lexspace.plans import pipeline
+    from fixtures import groups, weights
+
+    nested, w = groups(spark, [["A", "B"], ["B"]], [["C"]]), weights(spark, A=1.0, B=2.0, C=3.0)
+    pipeline.generate(nested, {"homograph": w}, str(tmp_path), ("homograph",), ("tf_icf", "icf_position_mean_psalm"))
+    pipeline.generate_shuffled_segments(nested, w, str(tmp_path), 1)
+    files = list(tmp_path.rglob("*.parquet"))
+    assert len(files) == 3 and all(pq.ParquetFile(f).metadata.created_by == runs.CREATED_BY and pq.read_table(f).num_rows == 3 for f in files)
